@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinograph.llm import exact_dedup, sharding
+from kinograph.llm import exact_dedup, recompression, sharding, suffix_dedup
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,10 +15,17 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_substring_dedup": lambda spark, d: recompression.substring_repeats(documents(spark, d)),
         "op3_exact_dedup": lambda spark, d: exact_dedup.exact_dedup(documents(spark, d)),
+        "op9_suffix_array_dedup": lambda spark, d: suffix_dedup.suffix_repeats(documents(spark, d)),
         "op10_sharding": lambda spark, d: sharding.shard(documents(spark, d)),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": exact_dedup.SQL, "op10_sharding": sharding.SQL}
+    return {
+        "op1_substring_dedup": recompression.SQL,
+        "op3_exact_dedup": exact_dedup.SQL,
+        "op9_suffix_array_dedup": suffix_dedup.SQL,
+        "op10_sharding": sharding.SQL,
+    }
