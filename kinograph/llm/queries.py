@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinograph.llm import exact_dedup, recompression, sharding, suffix_dedup
+from kinograph.llm import exact_dedup, fingerprints, line_dedup, recompression, sharding, suffix_dedup
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,7 +16,9 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": lambda spark, d: recompression.substring_repeats(documents(spark, d)),
+        "op2_document_fingerprints": lambda spark, d: fingerprints.sketches(documents(spark, d)),
         "op3_exact_dedup": lambda spark, d: exact_dedup.exact_dedup(documents(spark, d)),
+        "op8_line_dedup": lambda spark, d: line_dedup.line_dedup(documents(spark, d)).select("doc_id", "text"),
         "op9_suffix_array_dedup": lambda spark, d: suffix_dedup.suffix_repeats(documents(spark, d)),
         "op10_sharding": lambda spark, d: sharding.shard(documents(spark, d)),
     }
@@ -25,7 +27,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_substring_dedup": recompression.SQL,
+        "op2_document_fingerprints": fingerprints.SQL,
         "op3_exact_dedup": exact_dedup.SQL,
+        "op8_line_dedup": line_dedup.SQL,
         "op9_suffix_array_dedup": suffix_dedup.SQL,
         "op10_sharding": sharding.SQL,
     }
