@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinograph.llm import exact_dedup, fingerprints, language_id, line_dedup, recompression, sharding, simhash_dedup, suffix_dedup
+from kinograph.llm import exact_dedup, fingerprints, language_id, line_dedup, packing, recompression, sentencepiece_codec, sharding, simhash_dedup, suffix_dedup
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +18,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_substring_dedup": lambda spark, d: recompression.substring_repeats(documents(spark, d)),
         "op2_document_fingerprints": lambda spark, d: fingerprints.sketches(documents(spark, d)),
         "op3_exact_dedup": lambda spark, d: exact_dedup.exact_dedup(documents(spark, d)),
+        "op4_sentencepiece": lambda spark, d: sentencepiece_codec.encode(documents(spark, d)),
+        "op5_best_fit_packing": lambda spark, d: packing.best_fit_packing(documents(spark, d)),
         "op6_simhash_near_dedup": lambda spark, d: simhash_dedup.near_copies(documents(spark, d)),
         "op7_language_id": lambda spark, d: language_id.identify(documents(spark, d)),
         "op8_line_dedup": lambda spark, d: line_dedup.line_dedup(documents(spark, d)).select("doc_id", "text"),
