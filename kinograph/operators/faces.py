@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from kinograph.functions.scalars import cosine_distance
 
@@ -119,7 +120,7 @@ def identify(embeddings: DataFrame, num_faces: int, clusterer: Callable[[np.ndar
     Vectors that are not finite have no label. A recording with fewer finite vectors than num_faces, but some, is an error.
     clusterer takes vectors and their number of clusters; labels have no meaning across recordings.
     """
-    out = embeddings.schema.add("face_label", "string")
+    out = StructType([*embeddings.schema, StructField("face_label", StringType())])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = [np.asarray(v if v is not None else [np.nan], float) for v in pdf[vector]]
