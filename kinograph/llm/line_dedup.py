@@ -22,6 +22,7 @@ from kinograph.llm._common import cut, new_path, partitions, remove_path, text_k
 
 BATCHES, FANOUT = 4, 3
 HASH = ["h1", "h2"]
+LINE = "absent boolean, doc_id bigint, th bigint, line int, h1 bigint, h2 bigint, batch int"
 
 
 class Runs:
@@ -75,7 +76,7 @@ def first_places(docs: DataFrame, batches: int, fanout: int) -> DataFrame:
     lines.select("absent", "doc_id", "th", "line", "batch", F.xxhash64("s").alias("h1"), F.xxhash64(F.lit(1), "s").alias("h2")).write.partitionBy("batch").parquet(path)
     runs = Runs(spark, fanout)
     try:
-        hashed = spark.read.parquet(path)
+        hashed = spark.read.schema(LINE).parquet(path)
         for i in range(len(edges) + 1):
             first = hashed.where(F.col("batch") == i).groupBy(*HASH).agg(F.min(F.struct("absent", "doc_id", "th", "line")).alias("at"))
             runs.add(first.select(*HASH, "at.*"))
