@@ -33,7 +33,9 @@ def _check_lengths(df: DataFrame, lists: list[str]) -> DataFrame:
 
 
 def _zip(df: DataFrame, lists: list[str]) -> DataFrame:
-    rows = _check_lengths(df, lists).select("filename", F.explode(F.arrays_zip(*lists)).alias("row"))
+    kinds = dict(df.dtypes)
+    whole = _check_lengths(df, lists).withColumns({c: F.coalesce(c, F.array().cast(kinds[c])) for c in lists})  # a list may be missing
+    rows = whole.select("filename", F.explode(F.arrays_zip(*lists)).alias("row"))
     return rows.select("filename", *[F.col(f"row.{c}").alias(c) for c in lists])
 
 
