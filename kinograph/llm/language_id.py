@@ -28,6 +28,8 @@ FAMILIES = {
     "ru": "slavic", "pl": "slavic", "cs": "slavic", "uk": "slavic", "bg": "slavic",
 }
 BUCKETS, PER_LANGUAGE, MIN_MARGIN = 1 << 13, 200, 0.02
+#: Squared factor of the frequencies, which are small.
+SCALE = 2500.0
 _LOWER = np.arange(256, dtype=np.uint32)
 _LOWER[65:91] += 32
 
@@ -66,21 +68,23 @@ def sample(docs: DataFrame, per_language: int, languages: list[str]) -> tuple[np
     # at most per_language ids for each language
     few = known.join(F.broadcast(ids), "doc_id", "left_semi").select("doc_id", "lang", "text")
     rows = sorted({(r.lang, r.doc_id, bytes(r.v)) for r in few.mapInArrow(_vectors, "doc_id bigint, lang string, v binary").collect()})
-    return np.array([np.frombuffer(r[2], np.float32) for r in rows], np.float64).reshape(len(rows), BUCKETS), [r[0] for r in rows]
+    return np.array([np.frombuffer(r[2], np.float32) for r in rows], np.float32).reshape(len(rows), BUCKETS), [r[0] for r in rows]
 
 
-def fit(x: np.ndarray, y: np.ndarray, rounds: int = 400, weight: float = 1e-4) -> np.ndarray:
-    """Weights and bias of a linear machine with squared hinge loss, both classes of equal weight, by accelerated gradient descent."""
-    x = np.c_[x, np.full(len(x), 0.02)] * 50
+def fit(k: np.ndarray, y: np.ndarray, rounds: int = 400, weight: float = 1e-4) -> np.ndarray:
+    """Each row's share in a linear machine with squared hinge loss, both classes of equal weight, by accelerated gradient descent.
+
+    k holds the rows' scalar products: weights that start at 0 stay sums of rows, so nothing as wide as a row is needed.
+    """
     share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
-    scaled = x * np.sqrt(share)[:, None]
-    step = 1 / (2 * np.linalg.eigvalsh(scaled @ scaled.T)[-1] + weight)
-    w = z = np.zeros(x.shape[1])
-    for k in range(rounds):
-        slack = np.maximum(0, 1 - y * (x @ z))
-        new = z - step * (weight * z - 2 * x.T @ (share * y * slack))
-        z, w = new + k / (k + 3) * (new - w), new
-    return np.r_[w[:-1] * 50, w[-1]]
+    root = np.sqrt(share)
+    step = 1 / (2 * np.linalg.eigvalsh(root[:, None] * k * root)[-1] + weight)
+    w = z = np.zeros(len(k))
+    for i in range(rounds):
+        slack = np.maximum(0, 1 - y * (k @ z))
+        new = z - step * (weight * z - 2 * share * y * slack)
+        z, w = new + i / (i + 3) * (new - w), new
+    return w
 
 
 class Model:
@@ -95,12 +99,14 @@ class Model:
         lang = np.array(langs, object)
         self.sides: list[tuple[str, str]] = []
         columns = []
+        k = SCALE * (x @ x.T) + 1  # 1 is the bias's part
         for group, who in [(self.names, of), *((m, lang) for m in self.members.values())]:
             for a, b in combinations(group, 2):
                 use = (who == a) | (who == b)
                 self.sides.append((a, b))
-                columns.append(fit(x[use], np.where(who[use] == a, 1.0, -1.0)))
-        self.table = np.array(columns, np.float64).T.reshape(BUCKETS + 1, len(columns)).astype(np.float32)
+                w = fit(k[np.ix_(use, use)], np.where(who[use] == a, 1.0, -1.0))
+                columns.append(np.r_[SCALE * (w @ x[use]), w.sum()])
+        self.table = np.array(columns).T.reshape(BUCKETS + 1, len(columns)).astype(np.float32)
 
     def _vote(self, group: list[str], scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The winner's number for each row, by votes, then by summed margins; its least margin over the others."""
