@@ -3,35 +3,39 @@
 A fingerprint is two independent 64-bit SimHashes of a text's distinct lower-cased words. Two texts are near-duplicates
 if the first differ in at most ``distance`` bits and the second in at most ``confirm``.
 
-Candidates come from anchors. The first SimHash is cut into blocks of 22, 21 and 21 bits; of 7 differing bits, at most
-2, 1 and 1 lie in one of the three (always for up to 6; for exactly 7 all three blocks can be exceeded in one way only,
-3 + 2 + 2, which one pair in ten has). Over each block, the anchors are the words of a covering code: the Hamming (15, 11)
-code on 15 bits, of covering radius 1, times all values of the others. A fingerprint is at home at its nearest anchor and
-replicated to every anchor within the radius plus the block's threshold, so any two within the threshold meet at the home of
-either, and are compared there.
+Candidates come from anchors. The first SimHash is cut into blocks of 22, 21 and 21 bits; of 10 differing bits, at most
+3, 3 and 2 lie in one of the three (else there were 4 + 4 + 3), so every pair is found. Over each block, the anchors are the
+words of a covering code: the Hamming (15, 11) code on 15 bits, of covering radius 1, times all values of the others. A
+fingerprint is at home at its nearest anchor and probes every anchor within the radius plus the block's threshold, so any two
+within the threshold meet at the home of either, and are compared there.
+
+A fingerprint probes 1,139 anchors. What is shuffled is not one row for each but one for each bin of anchors, those that
+share a block's first bits; the anchors of a bin are looked up where its homes are.
 
 Groups are the connected components of near-duplicates, found by alternating large-star and small-star rounds.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinograph.llm import _text as T
-from kinograph.llm._common import cut, text_key
+from kinograph.llm._common import cut, partitions, text_key
 
-DISTANCE, CONFIRM = 7, 12
+DISTANCE, CONFIRM = 10, 12
 #: First bit, bits and threshold of each block.
-BLOCKS = ((0, 22, 2), (22, 21, 1), (43, 21, 1))
+BLOCKS = ((0, 22, 3), (22, 21, 3), (43, 21, 2))
 CODE_BITS, RADIUS = 15, 1
+#: Bits of a block, its highest ones, that name the bin of an anchor.
+BIN_BITS = 5
 
 
 def _simhash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,35 +81,108 @@ def errors(bits: int, reach: int) -> list[list[int]]:
     return [sorted(x, key=lambda e: (e.bit_count(), e)) for x in out]
 
 
-def _anchors(v: Column, bits: int, reach: int) -> tuple[Column, Column]:
-    """The home of v, and all anchors within reach."""
-    s = reduce(Column.bitwiseOR, (F.shiftleft(F.bit_count(v.bitwiseAND(sum(1 << i for i in range(CODE_BITS) if (i + 1) >> k & 1))).bitwiseAND(1), k) for k in range(4)))
-    table = errors(bits, reach)
-    assert all(x[0].bit_count() <= RADIUS for x in table)
-    pick = lambda rows: F.get(F.array(*[F.array(*[F.lit(e).cast("bigint") for e in r]) for r in rows]), s)
-    return v.bitwiseXOR(F.get(F.array(*[F.lit(x[0]).cast("bigint") for x in table]), s)), F.transform(pick(table), lambda e: e.bitwiseXOR(v))
-
-
-def _tagged(anchors: Column, tag: Column) -> Column:
-    return F.transform(anchors, lambda a: a.bitwiseOR(tag))
+def _found(distance: int, confirm: int, blocks: tuple[tuple[int, int, int], ...], limit: int = 1 << 16) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Near pairs from the homes and then the probes of each bin."""
+    low = (1 << CODE_BITS) - 1
+    syndromes = np.array([syndrome(v) for v in range(low + 1)])
+    tables = {(bits, reach): [np.array(x, np.int64) for x in errors(bits - BIN_BITS, reach)] for _, bits, t in blocks for reach in range(RADIUS + t + 1)}
+    nearest = np.array([x[0] for x in errors(CODE_BITS, RADIUS)])
+
+    def local(fa: np.ndarray, begin: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        v = (fa.view(np.uint64) >> np.uint64(begin)).astype(np.int64) & ((1 << (bits - BIN_BITS)) - 1)
+        return v, syndromes[v & low]
+
+    def compare(u: tuple[np.ndarray, np.ndarray], v: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, ...]:
+        (fa, fb), (ha, hb) = u, v
+        # either of two meets the other at its home: once is enough
+        use = np.flatnonzero((np.bitwise_count((fa ^ ha).view(np.uint64)) <= distance) & ((fa < ha) | ((fa == ha) & (fb < hb))))
+        fa, fb, ha, hb = fa[use], fb[use], ha[use], hb[use]
+        use = np.bitwise_count((fb ^ hb).view(np.uint64)) <= confirm
+        return fa[use], fb[use], ha[use], hb[use]
+
+    def probe(at: int, homes: tuple[np.ndarray, ...], fa: np.ndarray, fb: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        begin, bits, threshold = blocks[at >> BIN_BITS]
+        ha, hb, first = homes
+        v, s = local(fa, begin, bits)
+        top = (fa.view(np.uint64) >> np.uint64(begin + bits - BIN_BITS)).astype(np.int64) & ((1 << BIN_BITS) - 1)
+        kind = (RADIUS + threshold - np.bitwise_count(top ^ (at & ((1 << BIN_BITS) - 1))).astype(np.int64)) * len(nearest) + s
+        order = np.argsort(kind, kind="stable")
+        for rows in np.split(order, np.flatnonzero(np.diff(kind[order])) + 1):
+            reach, syn = divmod(int(kind[rows[0]]), len(nearest))
+            e = tables[bits, reach][syn]
+            step = max(1, (1 << 20) // max(1, len(e)))
+            for k in range(0, len(rows), step):
+                r = rows[k : k + step]
+                anchors = (v[r][:, None] ^ e).ravel()
+                count = first[anchors + 1] - first[anchors]
+                hit = np.flatnonzero(count)
+                r, lo, count = r[hit // max(1, len(e))], first[anchors[hit]], count[hit]
+                total = np.cumsum(count)
+                i = 0
+                while i < len(r):
+                    done = total[i - 1] if i else 0
+                    j = max(i + 1, int(np.searchsorted(total, done + (1 << 21), "right")))
+                    c = count[i:j]
+                    h = np.arange(c.sum()) + np.repeat(lo[i:j] - (total[i:j] - c - done), c)
+                    x = np.repeat(r[i:j], c)
+                    yield compare((fa[x], fb[x]), (ha[h], hb[h]))
+                    i = j
+
+    def index(at: int, ha: np.ndarray, hb: np.ndarray) -> tuple[np.ndarray, ...]:
+        begin, bits, _ = blocks[at >> BIN_BITS]
+        v, s = local(ha, begin, bits)
+        home = v ^ nearest[s]
+        order = np.argsort(home, kind="stable")
+        return ha[order], hb[order], np.r_[0, np.cumsum(np.bincount(home, minlength=1 << (bits - BIN_BITS)))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, homes, held, ready, n = None, [], [], None, 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal held, ready, n
+            if held:
+                fa, fb = (np.concatenate(x) for x in zip(*held))
+                if ready is None:
+                    none = np.zeros(0, np.int64)
+                    ready = index(now[0], *((np.concatenate(x) for x in zip(*homes)) if homes else (none, none)))
+                for part in probe(now[0], ready, fa, fb):
+                    if len(part[0]):
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in part], names=["fa", "fb", "ha", "hb"])
+            held, n = [], 0
+
+        for b in batches:
+            at, salt, side, fa, fb = (np.asarray(b.column(c)) for c in ("at", "salt", "side", "fa", "fb"))
+            ends = [0, *(np.flatnonzero((np.diff(at) != 0) | (np.diff(salt) != 0) | (np.diff(side) != 0)) + 1), len(at)]
+            for i, j in zip(ends[:-1], ends[1:]):
+                if i == j:
+                    continue
+                if now != (key := (int(at[i]), int(salt[i]))):
+                    yield from flush()
+                    now, homes, ready = key, [], None
+                (held if side[i] else homes).append((fa[i:j], fb[i:j]))
+                if side[i] and (n := n + j - i) >= limit:
+                    yield from flush()
+        yield from flush()
+
+    return run
 
 
 def near_pairs(prints: DataFrame, distance: int = DISTANCE, confirm: int = CONFIRM, blocks: tuple[tuple[int, int, int], ...] = BLOCKS) -> DataFrame:
     """(u, v), each a struct (fa, fb), u < v: distinct fingerprints that are near."""
+    if sum(t + 1 for _, _, t in blocks) <= distance:
+        raise ValueError(f"blocks {blocks} do not cover a distance of {distance}")
+    # the probes of a bin are split where there are more partitions than bins; its homes are few
+    salts = max(1, partitions(prints.sparkSession) // (len(blocks) << BIN_BITS))
     homes, probes = [], []
     for k, (begin, bits, threshold) in enumerate(blocks):
-        v = F.shiftrightunsigned("fa", begin).bitwiseAND(F.lit((1 << bits) - 1).cast("bigint"))
-        home, reach = _anchors(v, bits, RADIUS + threshold)
-        tag = F.lit(k << 32).cast("bigint")
-        homes.append(F.struct(home.bitwiseOR(tag).alias("anchor")))
-        probes.append(_tagged(reach, tag))
-    at_home = prints.select(F.explode(F.array(*homes)).alias("at"), "fa", "fb").select("at.anchor", F.col("fa").alias("ha"), F.col("fb").alias("hb"))
-    reached = prints.select(F.explode(F.flatten(F.array(*probes))).alias("anchor"), "fa", "fb")
-    near = (F.bit_count(F.col("fa").bitwiseXOR(F.col("ha"))) <= distance) & (F.bit_count(F.col("fb").bitwiseXOR(F.col("hb"))) <= confirm)
-    differ = (F.col("fa") != F.col("ha")) | (F.col("fb") != F.col("hb"))
-    found = reached.join(at_home.hint("shuffle_hash"), "anchor").where(near & differ)
-    u, v = F.struct("fa", "fb"), F.struct(F.col("ha").alias("fa"), F.col("hb").alias("fb"))
-    return found.select(F.least(u, v).alias("u"), F.greatest(u, v).alias("v")).distinct()
+        top = F.shiftrightunsigned("fa", begin + bits - BIN_BITS).bitwiseAND((1 << BIN_BITS) - 1).cast("int")
+        homes.append(top.bitwiseOR(F.lit(k << BIN_BITS)))
+        probes += [top.bitwiseXOR(F.lit(k << BIN_BITS | e)) for e in range(1 << BIN_BITS) if e.bit_count() <= RADIUS + threshold]
+    at_home = prints.select(F.explode(F.array(*homes)).alias("at"), "fa", "fb").select("at", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(0).alias("side"), "fa", "fb")
+    reached = prints.select(F.explode(F.array(*probes)).alias("at"), F.pmod(F.xxhash64("fb"), F.lit(salts)).cast("int").alias("salt"), F.lit(1).alias("side"), "fa", "fb")
+    met = at_home.unionByName(reached).repartition("at", "salt").sortWithinPartitions("at", "salt", "side")
+    found = met.mapInArrow(_found(distance, confirm, blocks), "fa bigint, fb bigint, ha bigint, hb bigint")
+    return found.select(F.struct("fa", "fb").alias("u"), F.struct(F.col("ha").alias("fa"), F.col("hb").alias("fb")).alias("v")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

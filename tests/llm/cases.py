@@ -107,6 +107,20 @@ def near_groups(prints, distance, confirm):
     return {d: find(d) for d in ids if find(d) != d}, pairs
 
 
+def shingle_copies(docs, least, width=5):
+    """From {doc_id: text}: the doc_ids of which a lesser one has this Jaccard of word shingles at least, and all such pairs."""
+    sets, places, common = {}, defaultdict(list), defaultdict(int)
+    for d in sorted(docs):
+        w = words((docs[d] or "").lower())
+        sets[d] = {tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set()
+        for x in sets[d]:
+            for e in places[x]:
+                common[e, d] += 1
+            places[x].append(d)
+    pairs = {p for p, n in common.items() if n >= least * (len(sets[p[0]]) + len(sets[p[1]]) - n)}
+    return {d for _, d in pairs}, pairs
+
+
 def pack(docs, capacity):
     """(bin_id, doc_id, piece, first_word, n_words, bin_offset) of docs with unique doc_ids, round by round."""
     items = []

@@ -114,6 +114,13 @@ def test_simhash_as_brute_force(spark):
     assert set(got) <= set(want) and len(got) >= 0.9 * len(want)
 
 
+def test_simhash_recall_of_shingle_copies(spark):
+    docs = spark.read.parquet(f"{SF}/sf0.1/documents.parquet").where("doc_id < 3000")
+    later, pairs = cases.shingle_copies({r.doc_id: r.text for r in docs.dropDuplicates(["text"]).collect()}, 0.5)
+    gone = {r.doc_id for r in simhash_dedup.near_copies(docs).collect()}
+    assert len(later) > 50 and len(later & gone) >= 0.9 * len(later)
+
+
 def test_simhash_awkward(messy, empty):
     assert rows(simhash_dedup.near_copies(messy)) == Counter({(2, 1): 1, (None, 1): 1, (7, 6): 1})
     kept = simhash_dedup.simhash_dedup(messy)
