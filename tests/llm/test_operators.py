@@ -114,6 +114,28 @@ def test_simhash_as_brute_force(spark):
     assert set(got) <= set(want) and len(got) >= 0.9 * len(want)
 
 
+def test_simhash_finds_every_pair_of_the_definition(spark):
+    rng = random.Random(5)
+    base = [(rng.getrandbits(64), rng.getrandbits(64)) for _ in range(300)]
+    # differing bits: as many in each block as its threshold, or one more in all but one
+    split = [(3, 3, 4), (4, 3, 3), (3, 4, 3), (4, 4, 2), (10, 0, 0), (0, 10, 0), (0, 0, 10), (3, 2, 2), (5, 4, 1), (2, 5, 3)]
+    prints = {}
+    for i, (a, b) in enumerate(base):
+        for (begin, bits), n in zip(((0, 22), (22, 21), (43, 21)), split[i % len(split)]):
+            for k in rng.sample(range(begin, begin + bits), n):
+                a ^= 1 << k
+        for k in rng.sample(range(64), 12):
+            b ^= 1 << k
+        prints[2 * i], prints[2 * i + 1] = base[i], (a, b)
+    prints = {d: tuple(x - (x >> 63 << 64) for x in p) for d, p in prints.items()}
+    _, pairs = cases.near_groups(prints, 10, 12)
+    found = simhash_dedup.near_pairs(spark.createDataFrame(list(prints.values()), "fa bigint, fb bigint"), 10, 12).collect()
+    assert {frozenset(((r.u.fa, r.u.fb), (r.v.fa, r.v.fb))) for r in found} == {frozenset((prints[a], prints[b])) for a, b in pairs}
+    assert len(pairs) >= 300 and len(found) == len(pairs)
+    with pytest.raises(ValueError):
+        simhash_dedup.near_pairs(spark.createDataFrame([], "fa bigint, fb bigint"), 11)
+
+
 def test_simhash_recall_of_shingle_copies(spark):
     docs = spark.read.parquet(f"{SF}/sf0.1/documents.parquet").where("doc_id < 3000")
     later, pairs = cases.shingle_copies({r.doc_id: r.text for r in docs.dropDuplicates(["text"]).collect()}, 0.5)
