@@ -1,11 +1,12 @@
 """Exact dedup by skew-safe combining.
 
-Three stages, each of which groups by digest *and* full text, so a digest collision never merges two texts:
+Texts are grouped by digest *and* full text, so a digest collision never merges two texts; the salt is a hash of doc_id:
 
-1. local: Spark's partial aggregation combines equal texts within a task before anything is shuffled;
-2. salted: the survivors are grouped by (digest, salt, text), the salt being the task that read them, so a text with
-   millions of copies is spread over ``salts`` reducers;
-3. global: the at most ``salts`` winners of a text are combined.
+1. digests are counted, salted and then globally; only rows whose digest occurs again go on with their texts;
+2. salted: equal rows are counted, and each (digest, salt, text) has its least id, the winner, so a text with millions of
+   copies is spread over ``salts`` reducers;
+3. global: the at most ``salts`` winners of a text are combined, and the least goes back to each of its salts, where the
+   other rows are. The ids of a text never meet in one row or one task.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinograph.llm._common import cut
+
 
 def exact_dedup(docs: DataFrame, salts: int = 16) -> DataFrame:
     """One row (doc_id, kept_doc_id) for every removed copy; kept is the least doc_id among equal texts.
@@ -21,11 +24,14 @@ def exact_dedup(docs: DataFrame, salts: int = 16) -> DataFrame:
     are removed, with kept_doc_id = doc_id where the one kept has the same doc_id. A NULL doc_id sorts after all
     others. An empty table gives no rows; columns other than doc_id and text are not looked at.
     """
-    rows = docs.select(F.struct(F.col("doc_id").isNull().alias("absent"), F.col("doc_id")).alias("id"), "text").where("text IS NOT NULL").withColumns({"digest": F.xxhash64("text"), "salt": F.spark_partition_id() % salts})
-    salted = rows.groupBy("digest", "salt", "text").agg(F.collect_list("id").alias("ids"))
-    merged = salted.groupBy("digest", "text").agg(F.array_sort(F.flatten(F.collect_list("ids"))).alias("ids"))
-    copies = merged.where(F.size("ids") > 1).select(F.col("ids")[0]["doc_id"].alias("kept_doc_id"), F.explode(F.slice("ids", 2, F.size("ids"))).alias("id"))
-    return copies.select(F.col("id.doc_id").alias("doc_id"), "kept_doc_id")
+    rows = docs.select(F.struct(F.col("doc_id").isNull().alias("absent"), F.col("doc_id")).alias("id"), "text").where("text IS NOT NULL").withColumns({"digest": F.xxhash64("text"), "salt": F.pmod(F.xxhash64("id.doc_id"), F.lit(salts)).cast("int")})
+    salted = rows.groupBy("digest", "salt").agg(F.count("*").alias("n"))
+    many = salted.groupBy("digest").agg(F.sum("n").alias("n"), F.collect_list("salt").alias("salts")).where("n > 1").select("digest", F.explode("salts").alias("salt"))
+    counted = cut(rows.join(many, ["digest", "salt"], "left_semi").groupBy("digest", "salt", "text", "id").agg(F.count("*").alias("n")))
+    winners = counted.groupBy("digest", "salt", "text").agg(F.min("id").alias("least"))
+    kept = winners.groupBy("digest", "text").agg(F.min("least").alias("kept"), F.collect_list("salt").alias("salts")).select("digest", "text", "kept", F.explode("salts").alias("salt"))
+    copies = counted.join(kept, ["digest", "salt", "text"]).withColumn("n", F.col("n") - (F.col("id") == F.col("kept")).cast("int")).where("n > 0")
+    return copies.select(F.col("id.doc_id").alias("doc_id"), F.col("kept.doc_id").alias("kept_doc_id"), F.explode(F.sequence(F.lit(1), F.col("n")))).drop("col")
 
 
 def drop_exact_copies(docs: DataFrame, salts: int = 16) -> DataFrame:

@@ -59,6 +59,16 @@ def test_exact_dedup(messy, empty, spark):
     assert exact_dedup.drop_exact_copies(table(spark, docs)).count() == len(first)
 
 
+def test_exact_dedup_of_a_hot_text(spark):
+    """Any row that gathers the ids of a text would be as long as the text has copies."""
+    docs = spark.range(30_000).selectExpr("CASE WHEN id < 20000 THEN id WHEN id < 25000 THEN 7 END AS doc_id", "'' AS text")
+    found = exact_dedup.exact_dedup(docs, 8)
+    got = rows(found)
+    assert got[None, 0] == 5000 and got[7, 0] == 5001 and got[0, 0] == 0 and sum(got.values()) == 29_999
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list(id" not in plan and "flatten" not in plan
+
+
 def test_fingerprints(messy, empty, spark):
     found = {r.doc_id: r for r in fingerprints.sketches(messy).where("doc_id IS NOT NULL").collect()}
     assert [found[i].n_shingles for i in (1, 3, 4, 5, 6)] == [1, 0, 0, 0, 29_996]
