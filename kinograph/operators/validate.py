@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -32,6 +33,24 @@ def bad_landmarks(df: DataFrame, landmarks: str = "face_landmarks") -> DataFrame
     return df.where(F.exists(landmarks, lambda p: F.size(p) != 2))
 
 
+def _offends(low_only: bool) -> Callable[[Column], Column]:
+    return lambda x: x.isNull() | F.isnan(x) | (x < 0) | (F.lit(False) if low_only else x > 1)
+
+
+def negative_boxes(df: DataFrame, box: str = "face_box") -> DataFrame:
+    """Rows whose box has a coordinate that is negative, NaN or NULL."""
+    return df.where(F.exists(box, _offends(True)))
+
+
+def negative_landmarks(df: DataFrame, landmarks: str = "face_landmarks") -> DataFrame:
+    return df.where(F.exists(landmarks, lambda p: F.exists(p, _offends(True))))
+
+
+def action_units_outside(df: DataFrame, aus: str = "face_aus") -> DataFrame:
+    """Rows with an action unit that is not within 0 to 1."""
+    return df.where(F.exists(aus, _offends(False)))
+
+
 def half_empty_faces(df: DataFrame) -> DataFrame:
     """Rows without face_box that have a probability, landmarks or action units."""
     return df.where(F.col("face_box").isNull() & (F.col("face_prob").isNotNull() | F.col("face_landmarks").isNotNull() | F.col("face_aus").isNotNull()))

@@ -7,6 +7,7 @@ value. Points in time are 60 s apart. embeddings stand in for faces, lineitem fo
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 from itertools import permutations
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -509,5 +510,32 @@ def validate_faces(spark: SparkSession, d: str) -> DataFrame:
     return bad[0].union(bad[1]).union(bad[2]).union(bad[3]).agg(F.count("one").alias("n"))
 
 
+@query("""WITH r AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings),
+f AS (SELECT id, CASE WHEN id % 5 = 0 THEN NULL WHEN id % 7 = 0 THEN e[1:3] WHEN id % 2 = 0 THEN list_transform(e[1:4], lambda x: abs(x)) ELSE e[1:4] END AS box, CASE WHEN id % 10 <> 0 THEN 0.5 END AS prob,
+  CASE WHEN id % 10 <> 0 THEN list_transform(e[1:5], lambda x: CASE WHEN id % 3 = 0 THEN [abs(x), abs(x)] WHEN id % 11 = 0 THEN [x, x, x] ELSE [x, x] END) END AS marks,
+  CASE WHEN id % 10 <> 0 THEN list_transform(e[1:41], lambda x: CASE WHEN id % 4 = 1 THEN abs(x) WHEN id % 4 = 2 THEN abs(x) + 0.9 ELSE x END) END AS aus FROM r)
+SELECT id, 'bad_boxes' AS offence FROM f WHERE len(box) <> 4
+UNION ALL SELECT id, 'negative_boxes' FROM f WHERE list_min(box) < 0
+UNION ALL SELECT id, 'bad_landmarks' FROM f WHERE len(list_filter(marks, lambda p: len(p) <> 2)) > 0
+UNION ALL SELECT id, 'negative_landmarks' FROM f WHERE list_min(flatten(marks)) < 0
+UNION ALL SELECT id, 'action_units_outside' FROM f WHERE list_min(aus) < 0 OR list_max(aus) > 1
+UNION ALL SELECT id, 'half_empty_faces' FROM f WHERE box IS NULL AND (prob IS NOT NULL OR marks IS NOT NULL OR aus IS NOT NULL)
+UNION ALL SELECT id, 'uneven_lists' FROM f WHERE len(box) > 0 AND len(box) <> 4""")
+def validate_face_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Which rows offend which face validator; rows are made so that some offend each and some none."""
+    i, e = F.col("id"), F.col("e")
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("e")).select(
+        "id",
+        F.when(i % 5 == 0, F.lit(None)).when(i % 7 == 0, F.slice(e, 1, 3)).when(i % 2 == 0, F.transform(F.slice(e, 1, 4), F.abs)).otherwise(F.slice(e, 1, 4)).alias("face_box"),
+        F.when(i % 10 != 0, F.lit(0.5)).alias("face_prob"),
+        F.when(i % 10 != 0, F.transform(F.slice(e, 1, 5), lambda x: F.when(i % 3 == 0, F.array(F.abs(x), F.abs(x))).when(i % 11 == 0, F.array(x, x, x)).otherwise(F.array(x, x)))).alias("face_landmarks"),
+        F.when(i % 10 != 0, F.transform(F.slice(e, 1, 41), lambda x: F.when(i % 4 == 1, F.abs(x)).when(i % 4 == 2, F.abs(x) + 0.9).otherwise(x))).alias("face_aus"),
+        F.sequence(F.lit(1), F.lit(4)).alias("frame"),
+    )
+    checks = [validate.bad_boxes, validate.negative_boxes, validate.bad_landmarks, validate.negative_landmarks, validate.action_units_outside, validate.half_empty_faces]
+    found = [f(rows).select("id", F.lit(f.__name__).alias("offence")) for f in checks]
+    return reduce(DataFrame.union, [*found, validate.uneven_lists(rows, ["face_box"]).select("id", F.lit("uneven_lists").alias("offence"))])
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     return stab_left(spark, d)

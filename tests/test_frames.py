@@ -190,6 +190,14 @@ def test_validators(spark):
     assert validate.not_ascending(bad, [], "place", "frame").count() == 1
 
 
+def test_face_ranges(spark):
+    nan, none = float("nan"), None
+    faces_ = [(1, [0.0, 1.0, 2.0, 3.0], [[0.0, 1.0]], [0.0, 1.0]), (2, [0.0, -1.0, 2.0, 3.0], [[0.0, -0.1]], [1.1]), (3, [nan] * 4, [[nan, 1.0]], [nan]), (4, none, none, none), (5, [none] * 4, [[1.0, none]], [-0.1])]
+    rows = spark.createDataFrame(faces_, "id int, face_box array<double>, face_landmarks array<array<double>>, face_aus array<double>")
+    for f in (validate.negative_boxes, validate.negative_landmarks, validate.action_units_outside):
+        assert sorted(r.id for r in f(rows).collect()) == [2, 3, 5]
+
+
 def test_coercers(spark):
     assert scalars.str2bool("True") and scalars.optional_int("None") is None and scalars.bool_or_str("x") == "x"
     with pytest.raises(ValueError):
