@@ -84,7 +84,56 @@ def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return mix(range_hash(prefix_hash(BYTE_HASH[data]), starts, ends) + (ends - starts).astype(U))
+    """A hash of each word: the sum of what its bytes and their places in the word are mixed to, mixed with its length."""
+    n = ends - starts
+    cum = np.cumsum(n) - n
+    place = np.arange(n.sum()) - np.repeat(cum, n)
+    byte = data[place + np.repeat(starts, n)]
+    with np.errstate(over="ignore"):
+        x = (BYTE_HASH[byte] ^ _place_hash(place)) * U(0xBF58476D1CE4E5B9)
+        x ^= x >> U(29)
+        x *= U(0x94D049BB133111EB)
+        x ^= x >> U(32)
+    sums = np.add.reduceat(x, cum) if len(n) else np.zeros(0, U)
+    return mix(sums + n.astype(U))
+
+
+_PLACES = mix((np.arange(1, 1025, dtype=U) << U(9)) * _BASE)
+
+
+def _place_hash(place: np.ndarray) -> np.ndarray:
+    if not len(place) or place.max() < len(_PLACES):
+        return _PLACES[place]
+    return mix((place.astype(U) + U(1) << U(9)) * _BASE)
+
+
+def plain_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All words with one space after each, and the start of each (one entry more than words)."""
+    size = ends - starts + 1
+    at = np.r_[0, np.cumsum(size)]
+    out = data[np.minimum(np.repeat(starts - at[:-1], size) + np.arange(at[-1]), max(0, len(data) - 1))] if len(size) else np.zeros(0, np.uint8)
+    out[at[1:] - 1] = 32
+    return out, at
+
+
+def same_bytes(data: np.ndarray, a: np.ndarray, a_end: np.ndarray, b: np.ndarray, b_end: np.ndarray, limit: int = 1 << 22) -> np.ndarray:
+    """Whether the bytes from a to a_end are those from b to b_end, for each of many pairs of ranges."""
+    out = a_end - a == b_end - b
+    rows = np.flatnonzero(out & (a != b))
+    size = (a_end - a)[rows]
+    end = np.cumsum(size)
+    lo = 0
+    while lo < len(rows):
+        done = end[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(end, done + limit, "right")))
+        r, n = rows[lo:hi], size[lo:hi]
+        first = np.cumsum(n) - n
+        step = np.arange(n.sum()) - np.repeat(first, n)
+        differ = data[np.repeat(a[r], n) + step] != data[np.repeat(b[r], n) + step]
+        bad = np.repeat(np.arange(len(r)), n)[differ]
+        out[r[bad]] = False
+        lo = hi
+    return out
 
 
 def signed(x: np.ndarray) -> np.ndarray:

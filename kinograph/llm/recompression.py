@@ -5,10 +5,10 @@ the alphabet and whose right one in the right half. A name is a 64-bit hash of w
 every document without any exchange between them, and all rounds of a text happen where the text is read. Each symbol
 carries the range of words on which its making depended. A symbol whose range lies within a window is *interior*: equal
 windows have the same interior symbols at the same places. The window's anchor is its highest interior symbol (of several,
-the one with the least name, then the leftmost); at level 0 every word is interior, so there always is one.
+the one with the least name, then the leftmost), and its key that symbol's whole range, which every such window has. Windows
+without an interior symbol of level LEAST or more, such as those within a run of one word, are their own anchors.
 
-Spark then groups segments by that shared symbol, and verifies: whole segments by a second hash, the windows of segments
-that differ word by word.
+Spark then groups segments by that shared symbol, and verifies their words as bytes.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from kinograph.llm import _repeats
 from kinograph.llm._text import U, mix, prefix_hash, range_hash
 
 WIDTH, ROUNDS = 50, 6
+#: Lower symbols are common, and a common anchor would bring too many segments together.
+LEAST = 3
 _A, _B = U(0xD6E8FEB86659FD93), U(0xA5CB9243F0AEF1B5)
 
 
@@ -76,7 +78,8 @@ def interior_anchors(rounds: int) -> _repeats.Anchors:
         n = len(h) - width + 1
         at, place, key = (np.full(n, -1), np.zeros(n, np.int64), np.zeros(n, U))
         open_ = _repeats.windows_of(first, width)
-        for level, s in reversed([*enumerate(levels(h, first, rounds))]):
+        words = prefix_hash(h)
+        for level, s in reversed([*enumerate(levels(h, first, rounds))][LEAST:]):
             lo, hi = np.searchsorted(s.lo, open_), np.searchsorted(s.hi, open_ + width, "right")
             has = hi > lo
             w, lo, hi = open_[has], lo[has], hi[has]
@@ -91,29 +94,21 @@ def interior_anchors(rounds: int) -> _repeats.Anchors:
                 m = np.flatnonzero(power == k)
                 a, b = t[lo[m]], t[hi[m] - (1 << k)]
                 best[m] = np.where(s.name[b] < s.name[a], b, a)
-            at[w], place[w], key[w] = best * 64 + level, s.start[best], s.name[best]
+            at[w], place[w], key[w] = best * 64 + level, s.start[best], range_hash(words, s.lo[best], s.hi[best])
             open_ = open_[~has]
             if not len(open_):
                 break
+        at[open_], place[open_], key[open_] = open_ * 64, open_, range_hash(words, open_, open_ + width)
         return at, place, key
 
     return find
 
 
-def groups(words: np.ndarray, at: np.ndarray, bucket: np.ndarray, width: int) -> np.ndarray:
-    """Windows named by the hash of all their words; neighbours of one name are verified word by word."""
+def groups(words: np.ndarray, at: np.ndarray, bucket: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Windows in the order of buckets and of the hash of all their words."""
     name = range_hash(prefix_hash(words), at, at + width)
     order = np.lexsort((name, bucket))
-    a, b = at[order[:-1]], at[order[1:]]
-    near = np.flatnonzero((bucket[order[:-1]] == bucket[order[1:]]) & (name[order[:-1]] == name[order[1:]]))
-    same = np.zeros(len(order), bool)
-    j = np.arange(width)
-    for k in range(0, len(near), 1 << 16):
-        part = near[k : k + (1 << 16)]
-        same[part + 1] = (words[a[part][:, None] + j] == words[b[part][:, None] + j]).all(1)
-    out = np.empty(len(order), np.int64)
-    out[order] = np.cumsum(~same) - 1
-    return out
+    return order, np.r_[False, (bucket[order[1:]] == bucket[order[:-1]]) & (name[order[1:]] == name[order[:-1]])]
 
 
 def substring_repeats(docs: DataFrame, width: int = WIDTH, rounds: int = ROUNDS) -> DataFrame:

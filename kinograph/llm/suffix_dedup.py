@@ -3,7 +3,8 @@
 Anchors are minimizers: of the ``gram``-word hashes in a window, the least (the leftmost of equals). Windows that share an
 anchor at the same distance are suffixes to be sorted. Two suffixes are compared by prefix polynomial hashes: a binary
 search finds their longest common extension in log2(width) steps, and the next word decides. A bottom-up mergesort runs on
-all anchors of an Arrow batch at once. Neighbours in the sorted order that agree in ``width`` words are verified word by word.
+all anchors of a batch at once. Neighbours in the sorted order that agree in ``width`` words are verified as bytes. Segments
+that are alone with their copies at an anchor are one suffix class: they are compared, as bytes, with the first of them.
 """
 
 from __future__ import annotations
@@ -76,19 +77,13 @@ def suffix_sort(words: np.ndarray, at: np.ndarray, bucket: np.ndarray, width: in
     return order
 
 
-def groups(words: np.ndarray, at: np.ndarray, bucket: np.ndarray, width: int) -> np.ndarray:
+def groups(words: np.ndarray, at: np.ndarray, bucket: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes sorted within buckets, and whether each agrees with the one before in width words."""
     order = suffix_sort(words, at, bucket, width)
-    a, b = at[order[:-1]], at[order[1:]]
-    near = np.flatnonzero(bucket[order[:-1]] == bucket[order[1:]])
-    near = near[extension(prefix_hash(words), a[near], b[near], width) == width]
-    same = np.zeros(len(order), bool)
-    for k in range(0, len(near), 1 << 16):
-        part = near[k : k + (1 << 16)]
-        j = np.arange(width)
-        same[part + 1] = (words[a[part][:, None] + j] == words[b[part][:, None] + j]).all(1)
-    out = np.empty(len(order), np.int64)
-    out[order] = np.cumsum(~same) - 1
-    return out
+    alike = np.zeros(len(order), bool)
+    near = np.flatnonzero(bucket[order[1:]] == bucket[order[:-1]])
+    alike[near + 1] = extension(prefix_hash(words), at[order[near]], at[order[near + 1]], width) == width
+    return order, alike
 
 
 def suffix_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
