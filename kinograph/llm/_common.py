@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -15,19 +17,23 @@ SPACES = " \t\n\r\f\v"
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir, or a new one where that is unset (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    current = spark.sparkContext._jsc.sc().getCheckpointDir()
+    context = spark.sparkContext._jsc.sc()
+    # else checkpoints' files stay for ever
+    context.conf().set("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
+    current = context.getCheckpointDir()
     if current.isDefined():
         return folder or current.get()
     if not folder:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="kinograph-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The rows of df, written once to the shared folder; its files go when nothing refers to them any more."""
+    """The rows of df, written once to the shared folder; Spark removes the files when nothing refers to them any more."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
