@@ -1,27 +1,29 @@
 """Line dedup with levelled sorted runs.
 
 The lines that have been seen are kept as runs: tables of (line hash, first place), bucketed and sorted by hash in the
-shared folder, so neither a merge anti-join against them nor a compaction shuffles them again. Documents come in batches,
-in the order of doc_id. Each batch finds the first place of each of its lines, drops the hashes that a run has by a
-merge anti-join, and writes the others as a run of level 0. When a level has ``fanout`` runs, they are merged into one run
-of the next level. At the end the runs hold exactly the lines to keep.
+shared folder, with one file for each bucket, so neither a merge anti-join against them nor a compaction shuffles them again,
+and a join does not sort them either. Documents come in batches, in the order of doc_id. Each batch finds the first place of
+each of its lines, drops the hashes that a run has by a merge anti-join, and writes the others as a run of level 0. When a
+level has ``fanout`` runs, they are merged into one run of the next level, bucket by bucket, two at a time. At the end the runs hold exactly
+the lines to keep.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
 from functools import reduce
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinograph.llm._common import cut, new_path, partitions, remove_path, text_key
 
-BATCHES, FANOUT = 4, 3
+BATCHES, FANOUT = 4, 2
+#: What a line has that is not blank.
+REAL = "[^ \\t\\n\\r\\f\\x0B]"
 HASH = ["h1", "h2"]
+#: Buckets of one file count as sorted.
+ORDERED = "spark.sql.legacy.bucketedTableScan.outputOrdering"
 LINE = "absent boolean, doc_id bigint, th bigint, line int, h1 bigint, h2 bigint, batch int"
 
 
@@ -35,7 +37,7 @@ class Runs:
         name = f"line_run_{uuid.uuid4().hex}"
         self.paths[name] = new_path(self.spark, "run")
         n = partitions(self.spark)
-        rows.repartition(n, *HASH).write.bucketBy(n, *HASH).sortBy(*HASH).option("path", self.paths[name]).saveAsTable(name)
+        rows.write.bucketBy(n, *HASH).sortBy(*HASH).option("path", self.paths[name]).saveAsTable(name)
         return name
 
     def drop(self, name: str) -> None:
@@ -56,14 +58,25 @@ class Runs:
             if len(self.levels[level]) < self.fanout:
                 return
             old, self.levels[level] = self.levels[level], []
-            new = self.write(self.rows(old))
-            for name in old:
+            new = old[0]
+            for name in old[1:]:
+                both = self.write(self.merged(new, name))
+                self.drop(new)
                 self.drop(name)
+                new = both
             level += 1
 
     def rows(self, names: list[str]) -> DataFrame:
         return reduce(DataFrame.unionByName, map(self.spark.table, names))
 
+    def merged(self, a: str, b: str) -> DataFrame:
+        """All rows of two runs, by a merge join of their buckets; no hash is in both. (A union would not bring the buckets together.)"""
+        sides = []
+        for name, side in ((a, "x"), (b, "y")):
+            rest = [c for c in self.spark.table(name).columns if c not in HASH]
+            sides.append(self.spark.table(name).select(*HASH, F.struct(*rest).alias(side)))
+        return sides[0].join(sides[1].hint("merge"), HASH, "full").select(*HASH, F.coalesce("x", "y").alias("rest")).select(*HASH, "rest.*")
+
 
 def first_places(docs: DataFrame, batches: int, fanout: int) -> DataFrame:
     """(absent, doc_id, th, line) of the first occurrence of each line that is not blank."""
@@ -71,10 +84,12 @@ def first_places(docs: DataFrame, batches: int, fanout: int) -> DataFrame:
     rows = docs.select(F.col("doc_id").isNull().alias("absent"), F.col("doc_id").cast("bigint").alias("doc_id"), text_key(F.col("text")).alias("th"), "text").where("text IS NOT NULL")
     edges = rows.select("doc_id").approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.001) if batches > 1 else []
     number = sum((F.coalesce((F.col("doc_id") > int(e)).cast("int"), F.lit(1)) for e in edges), F.lit(0))
-    lines = rows.select("absent", "doc_id", "th", number.alias("batch"), F.posexplode(F.split("text", "\n")).alias("line", "s")).where("s rlike '[^ \\t\\n\\r\\f\\x0B]'")
+    lines = rows.select("absent", "doc_id", "th", number.alias("batch"), F.posexplode(F.split("text", "\n")).alias("line", "s")).where(F.col("s").rlike(REAL))
     path = new_path(spark, "lines")
     lines.select("absent", "doc_id", "th", "line", "batch", F.xxhash64("s").alias("h1"), F.xxhash64(F.lit(1), "s").alias("h2")).write.partitionBy("batch").parquet(path)
     runs = Runs(spark, fanout)
+    before = spark.conf.get(ORDERED)
+    spark.conf.set(ORDERED, "true")
     try:
         hashed = spark.read.schema(LINE).parquet(path)
         for i in range(len(edges) + 1):
@@ -82,35 +97,18 @@ def first_places(docs: DataFrame, batches: int, fanout: int) -> DataFrame:
             runs.add(first.select(*HASH, "at.*"))
         return cut(runs.rows(runs.tables()).select("absent", "doc_id", "th", "line"))
     finally:
+        spark.conf.set(ORDERED, before)
         for name in runs.tables():
             runs.drop(name)
         remove_path(spark, path)
 
 
-def _rebuild(text_at: int, n_chars_at: int | None, names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            columns = [b.column(i) for i in range(b.num_columns - 1)]
-            texts, kept = columns[text_at].to_pylist(), b.column(b.num_columns - 1)
-            chars = columns[n_chars_at].to_pylist() if n_chars_at is not None else None
-            keep = np.ones(b.num_rows, bool)
-            for i, text in enumerate(texts):
-                if text is None:
-                    continue
-                lines = text.split("\n")
-                mine = set(kept[i].as_py() or ())
-                left = [x for k, x in enumerate(lines) if k in mine or not x.strip(" \t\n\r\f\v")]
-                if len(left) < len(lines):
-                    keep[i] = bool(mine)
-                    texts[i] = "\n".join(left)
-                    if chars is not None:
-                        chars[i] = len(texts[i])
-            columns[text_at] = pa.array(texts, b.column(text_at).type)
-            if chars is not None:
-                columns[n_chars_at] = pa.array(chars, columns[n_chars_at].type)
-            yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep))
-
-    return run
+def kept_text(text: Column, lines: Column) -> Column:
+    """text without the lines that are neither blank nor numbered in lines."""
+    parts = F.split(text, "\n")
+    blank = F.filter(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: ~F.get(parts, i).rlike(REAL))
+    places = F.array_sort(F.array_union(blank, lines))
+    return F.when(F.size(places) == F.size(parts), text).otherwise(F.array_join(F.transform(places, lambda i: F.get(parts, i)), "\n"))
 
 
 def line_dedup(docs: DataFrame, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
@@ -129,8 +127,13 @@ def line_dedup(docs: DataFrame, batches: int = BATCHES, fanout: int = FANOUT) ->
     left = docs.toDF(*[f"c{i}" for i in range(len(names))])
     text, doc = f"c{lowered.index('text')}", f"c{lowered.index('doc_id')}"
     joined = left.join(kept, (F.col(doc).cast("bigint").eqNullSafe(F.col("doc_id"))) & (text_key(F.col(text)) == F.col("th")), "left").select(*left.columns, "lines")
-    out = joined.mapInArrow(_rebuild(lowered.index("text"), lowered.index("n_chars") if "n_chars" in lowered else None, left.columns), left.schema)
-    return out.toDF(*names)
+    # a document without lines to keep stays only if it had none
+    stays = joined.where(F.col("lines").isNotNull() | F.col(text).isNull() | ~F.col(text).rlike(REAL))
+    out = stays.withColumn(text, F.when(F.col("lines").isNotNull(), kept_text(F.col(text), F.col("lines"))).otherwise(F.col(text)))
+    if "n_chars" in lowered:
+        chars = f"c{lowered.index('n_chars')}"
+        out = out.withColumn(chars, F.when(F.col("lines").isNotNull(), F.length(text).cast(left.schema[chars].dataType)).otherwise(F.col(chars)))
+    return out.select(*left.columns).toDF(*names)
 
 
 def lines_sql(table: str = "documents", columns: str = "doc_id, text") -> str:

@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from kinograph.llm import exact_dedup, fingerprints, language_id, line_dedup, packing, recompression, sentencepiece_codec, sharding, simhash_dedup, suffix_dedup
 
 
+#: So small that the table is split at every size.
+SHARD_BYTES = 64 << 10
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -24,7 +28,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_language_id": lambda spark, d: language_id.identify(documents(spark, d)),
         "op8_line_dedup": lambda spark, d: line_dedup.line_dedup(documents(spark, d)).select("doc_id", "text"),
         "op9_suffix_array_dedup": lambda spark, d: suffix_dedup.suffix_repeats(documents(spark, d)),
-        "op10_sharding": lambda spark, d: sharding.shard(documents(spark, d)),
+        "op10_sharding": lambda spark, d: sharding.shard(documents(spark, d), SHARD_BYTES),
     }
 
 
@@ -35,5 +39,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_exact_dedup": exact_dedup.SQL,
         "op8_line_dedup": line_dedup.SQL,
         "op9_suffix_array_dedup": suffix_dedup.SQL,
-        "op10_sharding": sharding.SQL,
+        "op10_sharding": sharding.sql(SHARD_BYTES),
     }

@@ -70,7 +70,8 @@ def shard(docs: DataFrame, limit: int = 32 << 20, step: int = 12) -> DataFrame:
     return ids.withColumn("shard_prefix", prefix(F.col("h"), F.col("shard_depth"))).join(buckets, ["shard_depth", "shard_prefix"]).select("doc_id", F.col("shard_depth").cast("int"), "shard_prefix", "shard_bytes")
 
 
-SQL = f"""
+def sql(limit: int) -> str:
+    return f"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, coalesce(strlen(text), 0) AS bytes,
          ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, {BITS // 4}))::BIGINT AS h
@@ -80,6 +81,6 @@ s AS (
          sum(bytes) OVER (PARTITION BY depth, h >> ({BITS} - depth)) AS total
   FROM d, range(0, {BITS + 1}) t(depth))
 SELECT doc_id, depth::INTEGER AS shard_depth, prefix AS shard_prefix, total::BIGINT AS shard_bytes FROM (
-  SELECT *, row_number() OVER (PARTITION BY r ORDER BY depth) AS k FROM s WHERE total <= {32 << 20} OR depth = {BITS})
+  SELECT *, row_number() OVER (PARTITION BY r ORDER BY depth) AS k FROM s WHERE total <= {limit} OR depth = {BITS})
 WHERE k = 1
 """

@@ -208,8 +208,9 @@ def groups(docs: DataFrame, distance: int = DISTANCE, confirm: int = CONFIRM) ->
     distinct = cut(distinct.select(F.struct("fa", "fb").alias("node"), "least", (F.col("least") != F.col("most")).alias("many")))
     roots = components(near_pairs(distinct.select("node.fa", "node.fb"), distance, confirm))
     rooted = distinct.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    kept = rooted.groupBy("root").agg(F.min("least").alias("kept"), F.collect_list("node").alias("nodes"), F.max("many").alias("many")).where("many OR size(nodes) > 1")
-    kept = kept.select("kept", F.explode("nodes").alias("node")).select("kept", "node.fa", "node.fb")
+    kept = rooted.groupBy("root").agg(F.min("least").alias("kept"), F.count("*").alias("nodes"), F.max("many").alias("many")).where("many OR nodes > 1")
+    # back by join: the nodes of a group never meet in one row
+    kept = rooted.join(kept.select("root", "kept"), "root").select("kept", "node.fa", "node.fb")
     return prints.join(kept, ["fa", "fb"]).where("struct(absent, doc_id, th) <> kept").select("absent", "doc_id", "th", "kept")
 
 

@@ -1,10 +1,12 @@
+import os
 import random
 from collections import Counter
 
 import cases
 import pytest
+from pyspark.sql import functions as F
 
-from kinograph.llm import exact_dedup, fingerprints, language_id, line_dedup, packing, recompression, sentencepiece_codec, sharding, simhash_dedup, suffix_dedup
+from kinograph.llm import _repeats, _text, exact_dedup, fingerprints, language_id, line_dedup, packing, recompression, sentencepiece_codec, sharding, simhash_dedup, suffix_dedup
 
 SF = "/root/testdata"
 
@@ -48,6 +50,30 @@ def test_repeats_are_cut_as_brute_force(spark):
     assert rows(recompression.substring_dedup(table(spark, docs))) == Counter(cases.cut_repeats(docs, 50).items())
 
 
+FINDERS = [(recompression.interior_anchors(6), recompression.groups), (suffix_dedup.minimizers(12), suffix_dedup.groups)]
+
+
+@pytest.mark.parametrize(("anchors", "groups"), FINDERS)
+@pytest.mark.parametrize(("poor", "hot", "group"), [(True, 1 << 16, 1 << 12), (True, 40, 2), (False, 3, 2)])
+def test_repeats_do_not_rest_on_hashes(spark, anchors, groups, poor, hot, group):
+    hashes = (lambda data, starts, ends: data[starts].astype("uint64") % 3) if poor else _text.word_hashes
+    docs = cases.passages(4, 24)
+    runs = _repeats.repeated_runs(table(spark, docs).repartition(4, "doc_id"), 50, anchors, groups, hashes, hot, group)
+    assert rows(_repeats.repeated_spans(runs, 50).select("doc_id", "first_word", "end_word", "again")) == Counter(cases.spans(docs, 50))
+
+
+def test_words_of_equal_polynomial_hashes(spark):
+    """Modulo 2**64, a Thue-Morse word and its complement have one polynomial hash for every base."""
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    a, b = ("".join("ab"[x ^ k] for x in bits) for k in (0, 1))
+    rest = [f"w{i}" for i in range(49)]
+    docs = {1: " ".join([*rest[:20], a, *rest[20:]]), 2: " ".join([*rest[:20], b, *rest[20:]])}
+    for find, drop in ((recompression.substring_repeats, recompression.substring_dedup), (suffix_dedup.suffix_repeats, suffix_dedup.suffix_dedup)):
+        for parts in (1, 2):
+            assert find(table(spark, docs).repartition(parts)).count() == 0
+            assert rows(drop(table(spark, docs).repartition(parts))) == Counter(docs.items())
+
+
 def test_exact_dedup(messy, empty, spark):
     assert rows(exact_dedup.exact_dedup(messy)) == Counter({(1, 1): 1, (2, 1): 1, (None, 1): 1, (7, 6): 1})
     assert exact_dedup.exact_dedup(empty).count() == 0
@@ -57,6 +83,11 @@ def test_exact_dedup(messy, empty, spark):
     want = Counter((d, first[t]) for d, t in docs.items() if first.setdefault(t, d) != d)
     assert rows(exact_dedup.exact_dedup(table(spark, docs).repartition(7), 4)) == want
     assert exact_dedup.drop_exact_copies(table(spark, docs)).count() == len(first)
+    left = exact_dedup.drop_exact_copies(messy)
+    assert left.columns == messy.columns and rows(left.select("doc_id", "text")) == Counter([(1, "alpha beta"), (3, None), (4, ""), (5, " \n\t "), (6, cases.LONG), (8, "Ünïcödé ▁ 日本\n\nnoch <s> mehr\x00?")])
+    assert exact_dedup.drop_exact_copies(empty).count() == 0
+    absent = spark.createDataFrame([(None, "x"), (None, "x"), (1, None), (1, None)], "doc_id bigint, text string")
+    assert rows(exact_dedup.drop_exact_copies(absent)) == Counter({(None, "x"): 1, (1, None): 2})
 
 
 def test_exact_dedup_of_a_hot_text(spark):
@@ -184,12 +215,32 @@ def test_line_dedup(messy, empty, spark):
     assert Counter(r.doc_id for r in got.collect()) == Counter([1, 1, 3, 4, 5, 6, 8]) and got.columns == messy.columns
     assert line_dedup.line_dedup(empty).count() == 0
     r = random.Random(11)
-    docs = {i: "\n".join(r.choice(["", " ", f"line {r.randrange(90)}", f"Line {r.randrange(9)} "]) for _ in range(r.randrange(12))) for i in range(150)}
+    docs = {i: "\n".join(r.choice(["", " ", "x0B", "\v", f"line {r.randrange(90)}", f"Line {r.randrange(9)} "]) for _ in range(r.randrange(12))) for i in range(150)}
     want = Counter(cases.line_dedup(docs).items())
     assert rows(line_dedup.line_dedup(table(spark, docs))) == want
     assert rows(line_dedup.line_dedup(table(spark, docs), batches=5, fanout=2)) == want
 
 
+def test_line_runs_are_merged_without_shuffle_or_sort(spark):
+    runs = line_dedup.Runs(spark, 2)
+    lines = spark.range(1000).selectExpr("id AS h1", "id * 7 AS h2", "id AS at")
+    spark.conf.set(line_dedup.ORDERED, "true")
+    try:
+        for i in range(3):
+            runs.add(lines.where(f"id % 3 <= {i}").groupBy("h1", "h2").agg(F.min("at").alias("at")))
+        assert [len(x) for x in runs.levels] == [1, 1]
+        for name in runs.tables():
+            files = [f for f in os.listdir(runs.paths[name].removeprefix("file:")) if f.endswith(".parquet")]
+            assert len(files) == 4  # one for each bucket
+        plan = runs.merged(*runs.tables())._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan
+        assert rows(runs.merged(*runs.tables())) == Counter((i, 7 * i, i) for i in range(1000))
+    finally:
+        spark.conf.set(line_dedup.ORDERED, "false")
+        for name in runs.tables():
+            runs.drop(name)
+
+
 def test_sharding(messy, empty, spark):
     every = [(r.doc_id, r.text) for r in messy.collect()]
     assert rows(sharding.shard(messy, 20_000)) == Counter(cases.shards(every, 20_000))
