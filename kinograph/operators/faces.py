@@ -114,11 +114,12 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 50) -> np.ndarray:
     return label
 
 
-def identify(embeddings: DataFrame, num_faces: int, clusterer: Callable[[np.ndarray, int], np.ndarray] = kmeans, by: str = "filename", vector: str = "embedding") -> DataFrame:
+def identify(embeddings: DataFrame, num_faces: int, clusterer: Callable[[np.ndarray, int], np.ndarray] = spectral, by: str = "filename", vector: str = "embedding") -> DataFrame:
     """embeddings with ``face_label``: the cluster of each face among those of its recording.
 
     Vectors that are not finite have no label. A recording with fewer finite vectors than num_faces, but some, is an error.
-    clusterer takes vectors and their number of clusters; labels have no meaning across recordings.
+    clusterer takes vectors and their number of clusters; labels have no meaning across recordings. The default compares all
+    pairs of a recording's faces, in one task; kmeans takes as long as there are faces, for long recordings.
     """
     out = StructType([*embeddings.schema, StructField("face_label", StringType())])
 

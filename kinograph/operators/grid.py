@@ -11,15 +11,16 @@ def float32_time(i: Column, step: Column) -> Column:
     return (i.cast("float") * step.cast("float")).cast("double")
 
 
-def frame_grid(clips: DataFrame, skip: int = 1, frame_offset: int = 0) -> DataFrame:
+def frame_grid(clips: DataFrame, skip: int = 1, frame_offset: int | Column = 0) -> DataFrame:
     """(filename, frame, time) for every skip-th frame of each clip (filename, duration, fps).
 
-    There is a row for each i with i * skip / fps < duration. time starts at 0; frame_offset is added to frame, for a
-    subclip whose video frames keep their numbers.
+    There is a row for each i with i * skip / fps < duration. time starts at 0; frame_offset, a number or a column of clips,
+    is added to frame, for a subclip whose video frames keep their numbers.
     """
     n = F.ceil(F.col("duration") * F.col("fps") / skip).cast("int")
-    rows = clips.where(F.col("duration") > 0).select("filename", "fps", F.explode(F.sequence(F.lit(0), n - 1)).alias("i"))
-    return rows.select("filename", (F.col("i").cast("bigint") * skip + frame_offset).alias("frame"), float32_time(F.col("i"), F.lit(float(skip)) / F.col("fps")).alias("time"))
+    offset = frame_offset if isinstance(frame_offset, Column) else F.lit(frame_offset)
+    rows = clips.where(F.col("duration") > 0).select("filename", "fps", offset.cast("bigint").alias("offset"), F.explode(F.sequence(F.lit(0), n - 1)).alias("i"))
+    return rows.select("filename", (F.col("i").cast("bigint") * skip + F.col("offset")).alias("frame"), float32_time(F.col("i"), F.lit(float(skip)) / F.col("fps")).alias("time"))
 
 
 def voice_grid(signals: DataFrame, time_step: float, skip: int = 1) -> DataFrame:

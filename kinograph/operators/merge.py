@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from kinograph.operators.grid import frame_grid
 from kinograph.operators.stabbing import stab
@@ -48,6 +49,25 @@ def fold_left(inputs: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.join(b, KEYS, "left"), inputs)
 
 
+def _width(tables: list[DataFrame]) -> float | None:
+    """The mean length of all intervals, for one width of buckets, in one pass; NULL without any."""
+    if not tables:
+        return None
+    rows = reduce(DataFrame.unionAll, [t.select(F.col("begin").cast("double").alias("b"), F.col("end").cast("double").alias("e")) for t in tables])
+    return rows.where("e > b").agg(F.avg(F.col("e") - F.col("b"))).first()[0] or 1.0
+
+
+def present(table: DataFrame, keep: tuple[str, ...] = ("filename", "frame")) -> DataFrame:
+    """table without the columns that are NULL, or empty lists, in every row; takes a pass over it."""
+    def some(f):
+        x = F.col(f.name)
+        return F.max((x.isNotNull() & (F.size(x) > 0) if isinstance(f.dataType, ArrayType) else x.isNotNull()).cast("int"))
+
+    optional = [f for f in table.schema if f.name not in keep]
+    row = table.agg(*[some(f).alias(f"c{i}") for i, f in enumerate(optional)]).first() if optional else []
+    return table.drop(*[f.name for f, has in zip(optional, row) if not has])
+
+
 def merge_features(
     clips: DataFrame,
     video: DataFrame | None = None,
@@ -57,17 +77,22 @@ def merge_features(
     voice: DataFrame | None = None,
     skip: int = 1,
     width: float | None = None,
+    frame_offset: int | Column = 0,
 ) -> DataFrame:
     """The merged table of all clips (filename, duration, fps).
 
     Inputs that are absent contribute no columns. Transcripts need segments, sentiment needs a transcript. time is computed
-    anew from frame, as frame * (1 / fps).
+    anew from frame, as frame * (1 / fps). frame_offset, a number or a column of clips, is the first video frame of a
+    subclip: it is added to the frames of speech and voice, which start at 0.
     """
     inputs = []
+    moved = isinstance(frame_offset, Column) or frame_offset != 0
+    if width is None:
+        width = _width([x for x in (segments, transcription, sentiment) if x is not None])
     if video is not None:
         inputs.append(video.drop("time", "face_embeddings", "face_average_embeddings"))
     if segments is not None:
-        grid = frame_grid(clips, skip)
+        grid = frame_grid(clips, skip, frame_offset)
         speech = stab_segments(grid, segments, width)
         if transcription is not None:
             spans = stab_spans(grid, transcription, width)
@@ -76,7 +101,11 @@ def merge_features(
             speech = with_spans(speech, spans)
         inputs.append(speech)
     if voice is not None:
-        inputs.append(voice.drop("time"))
+        voice = voice.drop("time")
+        if moved:
+            offsets = clips.select(F.col("filename").alias("of clip"), (frame_offset if isinstance(frame_offset, Column) else F.lit(frame_offset)).cast("bigint").alias("frame offset"))
+            voice = voice.join(offsets, F.col("filename") == F.col("of clip")).withColumn("frame", F.col("frame") + F.col("frame offset")).drop("of clip", "frame offset")
+        inputs.append(voice)
     if not inputs:
         raise ValueError("nothing to merge")
     merged = fold_left(inputs).join(clips.select("filename", "fps"), "filename").withColumn("time", F.col("frame") * (F.lit(1.0) / F.col("fps")))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, VariantType
 
 #: Splits after . ? ! : before white space, but not within abbreviations such as "e.g. " or "Dr. ".
 SENTENCE_RULE = r"(?<!\w\.\w.)(?<![A-Z][a-z]\.)(?<=\.|\?|\!|\:)\s"
@@ -77,5 +78,16 @@ def align(segments: DataFrame, rule: str = SENTENCE_RULE, mode: str = "reference
 
 
 def number_segments(segments: DataFrame) -> DataFrame:
-    """segments with ``index``, counted from 0 in the order of begin, then end."""
-    return segments.withColumn("index", F.row_number().over(Window.partitionBy("filename").orderBy("begin", "end")) - 1)
+    """segments with ``index``, counted from 0 in the order of begin, then end, then of the other columns that have an order."""
+    rest = [f.name for f in segments.schema if f.name not in ("filename", "begin", "end") and not isinstance(f.dataType, (MapType, VariantType))]
+    return segments.withColumn("index", F.row_number().over(Window.partitionBy("filename").orderBy("begin", "end", *rest)) - 1)
+
+
+def wrapped(text: Column, width: int = 30) -> Column:
+    """The lines of a text for display: words are added to a line until it has width characters or more, a space after each."""
+    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    start = F.struct(F.array().cast("array<string>").alias("lines"), F.lit("").alias("line"))
+    full = lambda acc: F.length(acc["line"]) >= width
+    add = lambda acc, w: F.struct(F.when(full(acc), F.array_append(acc["lines"], acc["line"])).otherwise(acc["lines"]).alias("lines"), F.concat(F.when(full(acc), F.lit("")).otherwise(acc["line"]), w, F.lit(" ")).alias("line"))
+    last = lambda acc: F.when(acc["line"] != "", F.array_append(acc["lines"], acc["line"])).otherwise(acc["lines"])
+    return F.transform(F.aggregate(words, start, add, last), lambda x: F.substring(x, 1, F.length(x) - 1))

@@ -7,15 +7,16 @@ recordings are worked on at once: each stage is one DataFrame keyed by filename,
 from __future__ import annotations
 
 import logging
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 from typing import Protocol
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from kinograph.operators import merge, postprocess, transcripts, validate
+from kinograph.sources import media
 
 log = logging.getLogger(__name__)
 
@@ -88,20 +89,29 @@ class Pipeline:
             if name in self.stages and needs not in self.stages:
                 raise ValueError(f"{name} needs {needs}")
 
-    def run(self, clips: DataFrame, skip: int = 1, subclip: tuple[float, float | None] | None = None, merge_tables: bool = True) -> Result:
-        """The result for all clips (filename, duration, fps); with subclip, of that part of each."""
-        if subclip:
-            start, end = subclip
-            stop = F.col("duration") if end is None else F.least(F.col("duration"), F.lit(float(end)))
-            clips = clips.withColumn("duration", F.greatest(F.lit(0.0), stop - F.lit(float(start))))
+    def run(self, clips: DataFrame, skip: int = 1, subclip: tuple[float, float | None] | None = None, merge_tables: bool = True, shift_frames: bool = False) -> Result:
+        """The result for all clips (filename, duration, fps); with subclip, of that part of each.
+
+        Stages get clips with the columns start (0 without subclip) and duration, that of the part. Video frames keep their
+        numbers, speech and voice count from 0; shift_frames adds the part's first frame to theirs, so that they meet.
+        """
+        start, end = subclip or (0.0, None)
+        stop = F.col("duration") if end is None else F.least(F.col("duration"), F.lit(float(end)))
+        clips = clips.withColumns({"start": F.lit(float(start)), "duration": F.greatest(F.lit(0.0), stop - F.lit(float(start)))})
         result = Result(clips)
         for name, stage in self.stages.items():
             log.info("stage %s", name)
             result.tables[name] = checked(stage.transform(clips=clips, **result.tables), SCHEMAS[name])
         if merge_tables and result.tables:
-            result.features = merge.merge_features(clips, **result.tables, skip=skip)
+            offset = F.floor(F.col("start") * F.col("fps")) if shift_frames else 0
+            result.features = merge.merge_features(clips, **result.tables, skip=skip, frame_offset=offset)
         return result
 
+    def run_files(self, spark: SparkSession, paths: str | Iterable[str], fps: float = 25.0, probe: Callable[[bytes], tuple[float, float]] | None = None, **settings) -> Result:
+        """run for one file or several, all at once; FileNotFoundError if one is missing. See sources.media.clips."""
+        return self.run(media.clips(spark, paths, fps, probe), **settings)
+
+
 def postprocess_features(features: DataFrame, au_columns: list = postprocess.ACTION_UNITS, landmark_columns: list = postprocess.LANDMARKS) -> DataFrame:
     """Faces relabelled as the speakers they match, and list columns split: a flat table for CSV."""
     out = postprocess.relabel_faces(features)

@@ -17,6 +17,12 @@ PAYLOADS = {
 }
 
 
+#: Fields that a payload has to have.
+REQUIRED = {"segments": ("name",), "transcription": ("index", "text"), "sentiment": ("text",)}  # scores are NULL where a model failed
+#: Fields that are probabilities.
+PROBABILITIES = {"segments": ("conf",), "transcription": ("confidence",), "sentiment": ("pos", "neg", "neu")}
+
+
 def _named(df: DataFrame, filename: str | None) -> DataFrame:
     """With filename in place of the one in the file, or, where that is missing, the file's own name."""
     if filename is not None:
@@ -66,12 +72,23 @@ def read_voice(spark: SparkSession, path: str, filename: str | None = None) -> D
     return rows.select("filename", F.col("frame").cast("bigint").alias("frame"), number("time").alias("time"), *[F.when(~F.isnan(number(c)), number(c)).alias(c) for c in rest])
 
 
-def read_annotation(spark: SparkSession, path: str, kind: str, filename: str | None = None, payload: str | None = None) -> DataFrame:
-    """(filename, begin, end, fields of the payload), and channel for segments; kind is a key of PAYLOADS unless payload is given."""
-    payload = payload or PAYLOADS[kind]
+def read_annotation(spark: SparkSession, path: str, kind: str, filename: str | None = None, payload: str | None = None, strict: bool = True) -> DataFrame:
+    """(filename, begin, end, fields of the payload), and channel for segments; kind is a key of PAYLOADS unless payload is given.
+
+    strict: a payload of one of PAYLOADS that lacks a required field, or has one of a wrong type or a probability that is not
+    within 0 to 1, is an error when the row is read.
+    """
+    own, payload = payload is None, payload or PAYLOADS[kind]
     schema = f"filename string, channel int, segments array<struct<begin: double, end: double, data: {payload}>>"
     df = _named(spark.read.json(path, schema=StructType.fromDDL(schema), multiLine=True), filename)
     rows = df.select("filename", "channel", F.inline("segments")).select("filename", "channel", "begin", "end", "data.*")
+    if strict and own:
+        ok = F.col("begin").isNotNull() & F.col("end").isNotNull()
+        for c in REQUIRED[kind]:
+            ok = ok & F.col(c).isNotNull()
+        for c in PROBABILITIES[kind]:
+            ok = ok & F.coalesce(F.col(c).between(0, 1), F.lit(True))
+        rows = rows.withColumn("begin", F.when(ok, F.col("begin")).otherwise(F.raise_error(F.concat(F.lit(f"a payload of {kind} is not valid in "), F.coalesce("filename", F.lit("?"))))))
     return rows if kind == "segments" else rows.drop("channel")
 
 

@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import io
+import os
 import wave
 from collections.abc import Callable, Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Decoded frames that a task holds at a time.
+FRAMES = 32
+
 
 def frame_ids(n_frames: Column, fps: Column, skip: int = 1, start: float = 0, end: float | None = None) -> Column:
     """Numbers of the frames from int(start * fps) to int(end * fps), or the last one, every skip-th."""
@@ -32,8 +37,9 @@ def decode(spark: SparkSession, folder: str, decoder: Callable[[bytes], Iterable
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for path, content in zip(b["path"], b["content"], strict=True):
-                for number, image in decoder(content):
-                    yield pd.DataFrame({"filename": [path], "frame": [number], "image": [image]})
+                frames = iter(decoder(content))
+                while part := list(islice(frames, FRAMES)):
+                    yield pd.DataFrame({"filename": path, "frame": [x[0] for x in part], "image": [x[1] for x in part]})
 
     return files.mapInPandas(run, "filename string, frame bigint, image binary")
 
@@ -57,12 +63,38 @@ def samples(content: bytes, rate: int = 16000, start: float = 0, end: float | No
 
 
 def read_audio(spark: SparkSession, folder: str, rate: int = 16000, start: float = 0, end: float | None = None) -> DataFrame:
-    """(filename, rate, samples) of the WAV files of a folder."""
+    """(filename, rate, samples) of the WAV files of a folder; samples are single precision, 4 bytes each (230 MB an hour at 16 kHz)."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").load(folder).select("path", "content")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for path, content in zip(b["path"], b["content"], strict=True):
-                yield pd.DataFrame({"filename": [path], "rate": [float(rate)], "samples": [samples(content, rate, start, end)]})
+                yield pd.DataFrame({"filename": [path], "rate": [float(rate)], "samples": [samples(content, rate, start, end).astype(np.float32)]})
+
+    return files.mapInPandas(run, "filename string, rate double, samples array<float>")
+
+
+def wav_length(content: bytes) -> float:
+    with wave.open(io.BytesIO(content)) as w:
+        return w.getnframes() / w.getframerate()
+
+
+def clips(spark: SparkSession, paths: str | Iterable[str], fps: float = 25.0, probe: Callable[[bytes], tuple[float, float]] | None = None) -> DataFrame:
+    """(filename, duration, fps) of one file or several; FileNotFoundError if one is missing.
+
+    probe gives a file's duration and frame rate. Without it, files are WAV, and fps is taken as given.
+    """
+    paths = [paths] if isinstance(paths, (str, os.PathLike)) else list(paths)
+    for p in map(str, paths):
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+            raise FileNotFoundError(p)
+    files = spark.read.format("binaryFile").load([str(p) for p in paths]).select("path", "content")
+    look = probe or (lambda content: (wav_length(content), fps))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = [look(c) for c in b["content"]]
+            yield pd.DataFrame({"filename": b["path"], "duration": [float(x[0]) for x in found], "fps": [float(x[1]) for x in found]})
 
-    return files.mapInPandas(run, "filename string, rate double, samples array<double>")
+    return files.mapInPandas(run, "filename string, duration double, fps double")

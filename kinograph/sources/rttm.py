@@ -25,8 +25,8 @@ def read_rttm(spark: SparkSession, path: str, filename: str | None = None) -> Da
 
 
 def _number(x: Column) -> Column:
-    """Two places, half to even; a trailing zero of the second place is not written."""
-    return F.bround(x, 2).cast("string")
+    """Two places, half to even, in plain notation; a trailing zero of the second place is not written."""
+    return F.regexp_replace(F.bround(x, 2).cast("decimal(38,2)").cast("string"), "0$", "")
 
 
 def rttm_lines(segments: DataFrame, sep: str = " ") -> DataFrame:
