@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from kinograph.functions import scalars
 from kinograph.operators import faces, graph, grid, interpolate, merge, postprocess, stats, transcripts, validate
-from kinograph.session import seconds_since
-from kinograph.sources import rttm, srt
+from kinograph.session import seconds_since, there_and_back
+from kinograph.sources import json_files, rttm, srt, tables
 from kinograph.streaming.stabbing import windowed_stats
 
 STEP, SKIP = 60.0, 5
@@ -281,8 +281,8 @@ def normalised_digraph(spark: SparkSession, d: str) -> DataFrame:
 
 @query(None)
 def identify_faces(spark: SparkSession, d: str) -> DataFrame:
-    """Labels of clusters are arbitrary; tests hold the partition against a plain k-means."""
-    return faces.identify(faces_table(spark, d).drop("face_label"), 10).select("filename", "vec_id", "face_label")
+    """Labels of clusters are arbitrary; a test holds them against k-means in plain Python."""
+    return faces.identify(faces_table(spark, d).drop("face_label"), 10, faces.kmeans).select("filename", "vec_id", "face_label")
 
 
 def boxes(spark: SparkSession, d: str) -> DataFrame:
@@ -469,6 +469,125 @@ def srt_blocks(spark: SparkSession, d: str) -> DataFrame:
     return srt.srt_blocks(rows).select("index", "value")
 
 
+@query(f"""WITH {EV}, r AS (SELECT event_id, filename, name, round_even((epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) / 1e4::DOUBLE, 0) / 100 AS b, round_even(("end" - "begin") * 100, 0) / 100 AS n FROM ev)
+SELECT event_id, 'SPEAKER ' || filename || ' 1 ' || b::DOUBLE::VARCHAR || ' ' || n::DOUBLE::VARCHAR || ' <NA> <NA> ' || name || ' <NA> ' AS value FROM r""")
+def rttm_fractions(spark: SparkSession, d: str) -> DataFrame:
+    tracks = rttm.from_tracks(events(spark, d).select(F.concat_ws("/", "filename", F.col("event_id").cast("string")).alias("filename"), F.col("begin").alias("start"), "end", F.col("name").alias("label")))
+    lines = rttm.rttm_lines(tracks).withColumn("event_id", F.split("filename", "/")[1].cast("bigint"))
+    return lines.select("event_id", F.regexp_replace("value", "/[0-9]+ ", " ").alias("value"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_extendedprice, round_even(l_extendedprice / 3 * 100, 0) / 100 AS even FROM lineitem")
+def rounding(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", scalars.round_half_even(F.col("l_extendedprice") / 3, 2).alias("even"))
+
+
+# Sources and sinks: tables written and read back
+
+
+def video_table(spark: SparkSession, d: str) -> DataFrame:
+    e, i = F.col("embedding").cast("array<double>"), F.col("vec_id")
+    return table(spark, d, "embeddings").select(
+        (i % 5).cast("string").alias("filename"), i.alias("frame"), (i * F.lit(0.2)).cast("double").alias("time"), F.when(i % 7 != 0, F.slice(e, 1, 4)).alias("face_box"), F.when(i % 7 != 0, F.abs(F.get(e, 0))).alias("face_prob"),
+        F.when(i % 7 != 0, F.transform(F.slice(e, 1, 5), lambda x: F.array(x, x))).alias("face_landmarks"), F.when(i % 3 != 0, F.slice(e, 1, 41)).alias("face_aus"), F.col("label").cast("string").alias("face_label"), F.when(i % 3 == 0, F.abs(F.get(e, 1))).alias("face_confidence"),
+    )
+
+
+VIDEO = """v AS (SELECT (vec_id % 5)::VARCHAR AS filename, vec_id AS frame, vec_id * 0.2::DOUBLE AS time, CASE WHEN vec_id % 7 <> 0 THEN e[1:4] END AS face_box, CASE WHEN vec_id % 7 <> 0 THEN abs(e[1]) END AS face_prob,
+CASE WHEN vec_id % 7 <> 0 THEN list_transform(e[1:5], lambda x: [x, x]) END AS face_landmarks, CASE WHEN vec_id % 3 <> 0 THEN e[1:41] END AS face_aus, label::VARCHAR AS face_label, CASE WHEN vec_id % 3 = 0 THEN abs(e[2]) END AS face_confidence
+FROM (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings))"""
+FLAT_VIDEO = "filename, frame, time, face_box[1] AS x1, face_box[4] AS y2, face_prob, len(face_landmarks) AS marks, face_landmarks[5][2] AS y5, len(face_aus) AS units, face_aus[41] AS last_unit, face_label, face_confidence"
+
+
+def flat_video(video: DataFrame) -> DataFrame:
+    at = lambda c, i: F.get(F.col(c), i)
+    n = lambda c: F.when(F.col(c).isNotNull(), F.size(c)).cast("bigint")
+    return video.select("filename", "frame", "time", at("face_box", 0).alias("x1"), at("face_box", 3).alias("y2"), "face_prob", n("face_landmarks").alias("marks"), F.get(at("face_landmarks", 4), 1).alias("y5"), n("face_aus").alias("units"), at("face_aus", 40).alias("last_unit"), "face_label", "face_confidence")
+
+
+@query(f"WITH {VIDEO} SELECT {FLAT_VIDEO} FROM v")
+def source_video_json(spark: SparkSession, d: str) -> DataFrame:
+    write = lambda path: json_files.write_objects(json_files.feature_objects(video_table(spark, d), ["frame"]), path)
+    return flat_video(there_and_back(spark, write, lambda path: json_files.read_video(spark, path)))
+
+
+@query("""SELECT (vec_id % 5)::VARCHAR AS filename, vec_id AS frame, vec_id * 0.2::DOUBLE AS time, embedding[1]::DOUBLE AS pitch_f0_hz, CASE WHEN vec_id % 4 <> 0 THEN embedding[2]::DOUBLE END AS hnr_db FROM embeddings""")
+def source_voice_json(spark: SparkSession, d: str) -> DataFrame:
+    e, i = F.col("embedding").cast("array<double>"), F.col("vec_id")
+    voice = table(spark, d, "embeddings").select((i % 5).cast("string").alias("filename"), i.alias("frame"), (i * F.lit(0.2)).cast("double").alias("time"), F.get(e, 0).alias("pitch_f0_hz"), F.when(i % 4 != 0, F.get(e, 1)).when(i % 8 == 0, F.lit(float("nan"))).alias("hnr_db"))
+    return there_and_back(spark, lambda path: json_files.write_objects(json_files.feature_objects(voice, ["frame"]), path), lambda path: json_files.read_voice(spark, path))
+
+
+def _annotated(spark: SparkSession, rows: DataFrame, kind: str, header: list[str] | None = None) -> DataFrame:
+    return there_and_back(spark, lambda path: json_files.write_objects(json_files.annotation_objects(rows, header), path), lambda path: json_files.read_annotation(spark, path, kind))
+
+
+@query(f"""WITH {EV} SELECT filename, 1::INTEGER AS channel, "begin", "end", name, CASE WHEN user_id % 2 = 0 THEN value / 500 END AS conf FROM ev""")
+def source_segments_json(spark: SparkSession, d: str) -> DataFrame:
+    rows = events(spark, d).select("filename", F.lit(1).alias("channel"), "begin", "end", "name", F.when(F.col("user_id") % 2 == 0, F.col("value") / 500).alias("conf"))
+    return _annotated(spark, rows, "segments", ["channel"])
+
+
+@query(f"""WITH {EV}, {SPANS} SELECT filename, "begin", "end", event_id::INTEGER AS index, text, speaker, confidence FROM tr""")
+def source_transcription_json(spark: SparkSession, d: str) -> DataFrame:
+    return _annotated(spark, transcription(spark, d), "transcription")
+
+
+@query(f"""WITH {EV} SELECT filename, "begin", "end", 'text ' || user_id AS text, value / 500 AS pos, 0::DOUBLE AS neg, 1 - value / 500 AS neu FROM ev WHERE event_type = 'signup'""")
+def source_sentiment_json(spark: SparkSession, d: str) -> DataFrame:
+    return _annotated(spark, inputs(spark, d)["sentiment"], "sentiment")
+
+
+@query(f"""WITH {EV}, r AS (SELECT filename, name, round_even((epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) / 1e4::DOUBLE, 0) / 100 AS b, round_even(("end" - "begin") * 100, 0) / 100 AS n FROM ev)
+SELECT filename, 1::INTEGER AS channel, b AS "begin", round(b + n, 6) AS "end", name, NULL::DOUBLE AS conf FROM r""")
+def source_rttm(spark: SparkSession, d: str) -> DataFrame:
+    rows = rttm.from_tracks(events(spark, d).select("filename", F.col("begin").alias("start"), "end", F.col("name").alias("label")))
+    return there_and_back(spark, lambda path: rttm.write_rttm(rows, path), lambda path: rttm.read_rttm(spark, path)).withColumn("end", r6("end"))
+
+
+@query(f"""WITH {EV}, {SPANS} SELECT 'all' AS filename, floor(round("begin" * 1000, 3)) / 1000 AS "begin", floor(round("end" * 1000, 3)) / 1000 AS "end", event_id::INTEGER AS index, ' ' || text AS text, speaker, NULL::DOUBLE AS confidence FROM tr""")
+def source_srt(spark: SparkSession, d: str) -> DataFrame:
+    return there_and_back(spark, lambda path: srt.write_srt(transcription(spark, d), path), lambda path: srt.read_srt(spark, path, "all"))
+
+
+@query("""SELECT o_orderkey, o_custkey, o_totalprice, o_orderstatus, try_cast(o_orderpriority AS INTEGER) AS o_orderpriority FROM orders""")
+def source_csv(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus", "o_orderpriority")
+    types = {"o_orderkey": "bigint", "o_custkey": "bigint", "o_totalprice": "double", "o_orderpriority": "int"}
+    return there_and_back(spark, lambda path: tables.write_csv(rows, path), lambda path: tables.scan_csv(spark, path, types, tolerant=True))
+
+
+@query(MERGED + "SELECT * FROM merged")
+def source_merged(spark: SparkSession, d: str) -> DataFrame:
+    return there_and_back(spark, lambda path: json_files.write_merged(merge_features(spark, d), path + "/m.parquet"), lambda path: json_files.read_merged(spark, path + "/m.parquet").withColumn("filename", F.col("filename").cast("string")))
+
+
+@query(f"""WITH {EV}, {grid_sql(SKIP)}, x AS (SELECT filename, floor("begin" / 60)::BIGINT AS frame, max(value) AS pitch FROM ev WHERE event_type = 'error' GROUP BY ALL)
+SELECT g.filename, g.frame, g.time, pitch FROM g LEFT JOIN x ON g.filename = x.filename AND g.frame = x.frame""")
+def add_feature(spark: SparkSession, d: str) -> DataFrame:
+    pitch = of(spark, d, "error").groupBy("filename", F.floor(F.col("begin") / 60).cast("bigint").alias("frame")).agg(F.max("value").alias("pitch"))
+    return interpolate.add_feature(grid.frame_grid(clips(spark, d), SKIP), pitch, "pitch")
+
+
+@query("SELECT conv_id, turn, string_split(text, ' ') AS words FROM conversations")
+def all_words(spark: SparkSession, d: str) -> DataFrame:
+    """Each sentence part of a turn has its words; together they are the words of the turn."""
+    parts = F.transform(F.split("text", "(?<=[.]) ", -1), lambda p: F.struct(F.split(p, " ", -1).alias("words")))
+    return table(spark, d, "conversations").select("conv_id", "turn", transcripts.all_words(parts).alias("words"))
+
+
+@query(f"WITH {VIDEO} SELECT filename, frame, time, face_prob, face_label FROM v")
+def present_columns(spark: SparkSession, d: str) -> DataFrame:
+    """Columns without any value, or with empty lists only, are dropped."""
+    rows = video_table(spark, d).select("filename", "frame", "time", "face_prob", "face_label", F.array().cast("array<double>").alias("face_aus"), F.lit(None).cast("double").alias("face_confidence"))
+    return merge.present(rows)
+
+
+@query("""SELECT 'count' AS summary, count(value)::VARCHAR AS value FROM events UNION ALL SELECT 'min', min(value)::VARCHAR FROM events UNION ALL SELECT 'max', max(value)::VARCHAR FROM events""")
+def describe_values(spark: SparkSession, d: str) -> DataFrame:
+    return stats.describe(table(spark, d, "events"), ["value"]).where("summary IN ('count', 'min', 'max')")
+
+
 # Validators
 
 

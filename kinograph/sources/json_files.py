@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StructType
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
 _VIDEO_LISTS = {
     "frame": "array<bigint>", "time": "array<double>", "face_box": "array<array<double>>", "face_prob": "array<double>",
@@ -23,11 +23,21 @@ REQUIRED = {"segments": ("name",), "transcription": ("index", "text"), "sentimen
 PROBABILITIES = {"segments": ("conf",), "transcription": ("confidence",), "sentiment": ("pos", "neg", "neu")}
 
 
+def _contents(spark: SparkSession, path: str) -> DataFrame:
+    """(file, value): the objects of the files of path, on one line each or over several; an object may end where the next line begins one."""
+    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
+    return whole.select("file", F.explode(F.split("value", r"(?<=\})\s*\n\s*(?=\{)")).alias("value")).where(F.trim("value") != "")
+
+
+def _objects(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
+    schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    return _contents(spark, path).select("file", F.from_json("value", schema).alias("object")).select("file", "object.*")
+
+
 def _named(df: DataFrame, filename: str | None) -> DataFrame:
     """With filename in place of the one in the file, or, where that is missing, the file's own name."""
-    if filename is not None:
-        return df.withColumn("filename", F.lit(filename))
-    return df.withColumn("filename", F.coalesce("filename", F.input_file_name()))
+    own = F.lit(filename) if filename is not None else F.coalesce("filename", "file")
+    return df.withColumn("filename", own).drop("file")
 
 
 def _check_lengths(df: DataFrame, lists: list[str]) -> DataFrame:
@@ -48,7 +58,7 @@ def _zip(df: DataFrame, lists: list[str]) -> DataFrame:
 def read_video(spark: SparkSession, path: str, filename: str | None = None) -> DataFrame:
     """Video annotations, a row for each place of the lists; numeric labels become their integral part as text."""
     schema = StructType.fromDDL("filename string, " + ", ".join(f"{k} {v}" for k, v in _VIDEO_LISTS.items()))
-    rows = _zip(_named(spark.read.json(path, schema=schema, multiLine=True), filename), list(_VIDEO_LISTS))
+    rows = _zip(_named(_objects(spark, path, schema), filename), list(_VIDEO_LISTS))
     label = F.col("face_label")
     number = F.when(label.rlike(r"^-?\d+(\.\d*)?([eE][+-]?\d+)?$"), label.try_cast("double").cast("bigint").cast("string"))
     return rows.withColumn("face_label", F.coalesce(number, F.when(label != "NaN", label)))
@@ -57,15 +67,20 @@ def read_video(spark: SparkSession, path: str, filename: str | None = None) -> D
 def read_video_embeddings(spark: SparkSession, path: str, filename: str | None = None) -> tuple[DataFrame, DataFrame]:
     """The two side tables: embeddings of each place, average embeddings of each label."""
     schema = "filename string, face_embeddings array<array<double>>, face_average_embeddings map<string, array<double>>"
-    df = _named(spark.read.json(path, schema=schema, multiLine=True), filename)
+    df = _named(_objects(spark, path, schema), filename)
     each = df.select("filename", F.posexplode("face_embeddings").alias("pos", "embedding")).withColumn("pos", F.col("pos").cast("bigint"))
     return each, df.select("filename", F.explode("face_average_embeddings").alias("face_label", "embedding"))
 
 
 def read_voice(spark: SparkSession, path: str, filename: str | None = None) -> DataFrame:
     """Voice features; every list in the files becomes a column, NaN NULL. Column names come from a pass over the files."""
-    df = _named(spark.read.option("allowNonNumericNumbers", True).json(path, multiLine=True), filename)
-    lists = [f.name for f in df.schema if isinstance(f.dataType, ArrayType)]
+    values = _contents(spark, path)
+    keys = sorted(r[0] for r in values.select(F.explode(F.json_object_keys("value"))).distinct().collect())
+    is_list = [F.max(F.get_json_object("value", f"$['{k}']").startswith("[").cast("int")).alias(f"k{i}") for i, k in enumerate(keys)]
+    lists = [k for k, has in zip(keys, values.agg(*is_list).first()) if has] if keys else []
+    lists += [c for c in ("frame", "time") if c not in lists]
+    schema = StructType([StructField("filename", StringType()), *[StructField(c, ArrayType(LongType() if c == "frame" else DoubleType())) for c in lists]])
+    df = _named(_objects(spark, path, schema), filename)
     rest = [c for c in lists if c not in ("frame", "time")]
     rows = _zip(df, ["frame", "time", *rest])
     number = lambda c: F.col(c).cast("double")
@@ -80,7 +95,7 @@ def read_annotation(spark: SparkSession, path: str, kind: str, filename: str | N
     """
     own, payload = payload is None, payload or PAYLOADS[kind]
     schema = f"filename string, channel int, segments array<struct<begin: double, end: double, data: {payload}>>"
-    df = _named(spark.read.json(path, schema=StructType.fromDDL(schema), multiLine=True), filename)
+    df = _named(_objects(spark, path, schema), filename)
     rows = df.select("filename", "channel", F.inline("segments")).select("filename", "channel", "begin", "end", "data.*")
     if strict and own:
         ok = F.col("begin").isNotNull() & F.col("end").isNotNull()
