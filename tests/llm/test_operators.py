@@ -1,3 +1,4 @@
+import hashlib
 import os
 import random
 from collections import Counter
@@ -113,6 +114,31 @@ def test_fingerprints(messy, empty, spark):
     assert len(fingerprints.merge(s.selectExpr("1 AS k", "*"), "k").first().sketch) == len(found[6].sketch)
 
 
+def test_merged_sketches_and_containment_as_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/sf0.001/documents.parquet").where("text IS NOT NULL")
+    made = fingerprints.sketches(docs, 3, 4).join(docs.select("doc_id", "source"), "doc_id")
+    merged = {r.source: r for r in fingerprints.merge(made, "source").collect()}
+    shingles, sizes = {}, Counter()
+    for r in docs.collect():
+        w = cases.words(r.text.lower())
+        mine = [" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))] if w else []
+        shingles.setdefault(r.source, set()).update(mine)
+        sizes[r.source] += len(mine)
+    number = lambda s: int(hashlib.md5(s.encode()).hexdigest()[:15], 16)
+    assert {k: (r.n_shingles, r.sketch) for k, r in merged.items()} == {k: (sizes[k], sorted(h for h in map(number, v) if h < 1 << 58)) for k, v in shingles.items()}
+    # a few documents against the sketches of whole sources
+    pairs = made.alias("a").join(spark.createDataFrame([(k, r.sketch) for k, r in merged.items()], "k string, s array<bigint>"), F.expr("size(a.sketch) > 40"))
+    checked = 0
+    for r in pairs.select("doc_id", "k", fingerprints.containment(F.col("a.sketch"), F.col("s")).alias("c")).collect():
+        text = docs.where(F.col("doc_id") == r.doc_id).first().text if checked < 20 else None
+        if text is not None:
+            w = cases.words(text.lower())
+            mine = {" ".join(w[i : i + 3]) for i in range(len(w) - 2)}
+            assert abs(r.c - len(mine & shingles[r.k]) / len(mine)) < 0.3
+            checked += 1
+    assert checked == 20
+
+
 def test_sentencepiece(messy, empty, spark):
     got = sentencepiece_codec.encode(messy).collect()
     assert len(got) == 10 and all(r.agrees in (True, None) for r in got)
@@ -202,6 +228,42 @@ def test_language_id_held_out(spark):
     assert kept.count() >= 0.98 * docs.where("text rlike '[a-z]'").count()
 
 
+def test_language_id_as_plain_scorer(spark):
+    """Trigrams counted, weighted and voted on in plain Python, with the weights of the fitted machines."""
+    docs = spark.read.parquet(f"{SF}/sf0.001/documents.parquet")
+    model = language_id.Model(*language_id.sample(docs.select("doc_id", "text", "lang"), language_id.PER_LANGUAGE, sorted(language_id.FAMILIES)), language_id.FAMILIES)
+    got = {r.doc_id: r for r in language_id.identify(docs).collect()}
+    low = (1 << 32) - 1
+
+    def winner(group, scores):
+        wins = {k: [0, 0.0, []] for k in group}
+        for i, a in enumerate(group):
+            for b in group[i + 1 :]:
+                s = scores[model.sides.index((a, b))]
+                for k, x in ((a, s), (b, -s)):
+                    wins[k][0] += x > 0
+                    wins[k][1] += x
+                    wins[k][2].append(x)
+        best = max(group, key=lambda k: (wins[k][0], wins[k][1]))
+        return best, min(wins[best][2], default=float("inf"))
+
+    for r in docs.collect():
+        if not any(c.isalpha() for c in r.text or ""):
+            assert got[r.doc_id].language is None
+            continue
+        raw = b" " + bytes(c + 32 if 65 <= c <= 90 else c for c in r.text.encode()) + b" "
+        counts = Counter()
+        for a, b, c in zip(raw, raw[1:], raw[2:]):
+            x = (a * 0x9E3779B1 & low) ^ (b * 0x85EBCA77 & low) ^ (c * 0xC2B2AE3D & low)
+            counts[(x * 0x27D4EB2F & low) >> 19] += 1
+        n = sum(counts.values())
+        scores = [sum(k / n * float(model.table[g, m]) for g, k in counts.items()) + float(model.table[-1, m]) for m in range(model.table.shape[1])]
+        family, margin = winner(model.names, scores)
+        language, within = winner(model.members[family], scores)
+        assert (got[r.doc_id].family, got[r.doc_id].language) == (family, language)
+        assert abs(got[r.doc_id].margin - min(margin, within)) < 1e-4
+
+
 def test_language_id_awkward(messy, empty):
     got = language_id.identify(messy).collect()
     assert len(got) == 10 and all((r.language is None) == (r.doc_id in (3, 4, 5)) for r in got)
