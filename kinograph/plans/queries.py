@@ -620,13 +620,21 @@ def validate_merged(spark: SparkSession, d: str) -> DataFrame:
     return validate.validate_merged(merge_features(spark, d), ["filename"])
 
 
-@query("SELECT 0::BIGINT AS n")
-def validate_faces(spark: SparkSession, d: str) -> DataFrame:
-    """How many rows offend any of the face validators: none."""
-    e = F.col("embedding").cast("array<double>")
-    rows = table(spark, d, "embeddings").select(F.slice(e, 1, 4).alias("face_box"), F.lit(0.5).alias("face_prob"), F.transform(F.slice(e, 1, 5), lambda x: F.array(x, x)).alias("face_landmarks"), F.slice(e, 1, 41).alias("face_aus"), F.sequence(F.lit(1), F.lit(4)).alias("frame"))
-    bad = [f(rows).select(F.lit(1).alias("one")) for f in (validate.bad_boxes, validate.bad_landmarks, validate.half_empty_faces, lambda x: validate.uneven_lists(x, ["face_box"]))]
-    return bad[0].union(bad[1]).union(bad[2]).union(bad[3]).agg(F.count("one").alias("n"))
+@query(f"""WITH {VIDEO} SELECT filename, bool_and(time >= 0 AND frame >= 0) AS time_not_negative, bool_and(len(face_box) = 4) AS face_box_of_four, bool_and((face_box IS NULL) = (face_prob IS NULL)) AS face_nulls_together,
+bool_and(face_prob BETWEEN 0 AND 1) AS face_prob_in_range, bool_and(len(face_landmarks) = 5 AND len(list_filter(face_landmarks, lambda p: len(p) <> 2)) = 0) AS landmarks_of_five,
+bool_and(len(face_aus) = 41 AND list_min(face_aus) >= 0 AND list_max(face_aus) <= 1) AS action_units, bool_and(face_confidence BETWEEN 0 AND 1) AS face_confidence_in_range
+FROM (SELECT filename, frame, time, CASE WHEN filename <> '1' OR frame % 2 = 0 THEN face_box ELSE face_box[1:3] END AS face_box, CASE WHEN filename <> '2' OR frame % 3 = 0 THEN face_prob END AS face_prob,
+  CASE WHEN filename = '3' AND frame % 4 = 1 THEN face_landmarks[1:4] ELSE face_landmarks END AS face_landmarks, CASE WHEN filename = '4' THEN face_aus ELSE list_transform(face_aus, lambda x: abs(x)) END AS face_aus, CASE WHEN filename = '0' THEN face_confidence + 1 ELSE face_confidence END AS face_confidence FROM v)
+GROUP BY filename""")
+def validate_merged_faces(spark: SparkSession, d: str) -> DataFrame:
+    """The invariants of faces, each of which holds in some recordings and not in another."""
+    f, n = F.col("filename"), F.col("frame")
+    rows = video_table(spark, d).withColumns({
+        "face_box": F.when((f != "1") | (n % 2 == 0), F.col("face_box")).otherwise(F.slice("face_box", 1, 3)), "face_prob": F.when((f != "2") | (n % 3 == 0), F.col("face_prob")),
+        "face_landmarks": F.when((f == "3") & (n % 4 == 1), F.slice("face_landmarks", 1, 4)).otherwise(F.col("face_landmarks")), "face_aus": F.when(f == "4", F.col("face_aus")).otherwise(F.transform("face_aus", F.abs)),
+        "face_confidence": F.when(f == "0", F.col("face_confidence") + 1).otherwise(F.col("face_confidence")),
+    })
+    return validate.validate_merged(rows, ["filename"])
 
 
 @query("""WITH r AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings),

@@ -13,10 +13,10 @@ from pyspark import cloudpickle
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from kinograph.operators import faces, grid, merge, stages, transcripts
+from kinograph.operators import faces, graph, grid, merge, stages, transcripts
 from kinograph.plans import cli
 from kinograph.plans.pipeline import Function, Pipeline
-from kinograph.sources import json_files, media, rttm
+from kinograph.sources import json_files, media, rttm, tables
 from kinograph.sources.config import VoiceConfig
 
 cloudpickle.register_pickle_by_value(fake_models)
@@ -192,3 +192,51 @@ def test_command_lines(spark, tmp_path):
     assert spark.read.parquet(out("merged.parquet")).count() >= 5
     with pytest.raises(SystemExit):
         cli.main(["sentiment", "--transcription", "x", "--model", "nothing", "--out", "y"])
+
+
+def test_graph_arithmetic_by_loops():
+    r = np.random.default_rng(5)
+    x, main, side = r.normal(size=(2, 27, 4)), r.normal(size=(27, 4)), r.normal(size=(14, 4))
+    cosine = lambda a, b: sum(a * np.maximum(b, 0)) / math.sqrt(sum(a * a)) / max(math.sqrt(sum(np.maximum(b, 0) ** 2)), 1e-12)
+    out = graph.unit_activations(x, main, side)
+    for i in range(2):
+        assert np.allclose(out[i, :27], [cosine(x[i, j], main[j]) for j in range(27)])
+        assert np.allclose(out[i, 27:], [cosine(x[i, graph.SIDED[j // 2]], side[j]) for j in range(14)])
+    y, q, k, v = r.normal(size=(2, 3, 4)), *(r.normal(size=(4, 5)) for _ in range(3))
+    out = graph.cross_attention(y, x, q, k, v)
+    for i in range(2):
+        for j in range(3):
+            logits = [(y[i, j] @ q) @ (z @ k) / math.sqrt(5) for z in x[i]]
+            weights = np.exp(logits) / np.exp(logits).sum()
+            assert np.allclose(out[i, j], sum(w * (z @ v) for w, z in zip(weights, x[i])))
+    edge, source, target = (r.normal(size=(1, 3, 3, 2)) for _ in range(3))
+    new, gate = graph.gated_edges(edge, source, target)
+    assert np.allclose(new, edge + source + target)
+    for a in range(3):
+        g = 1 / (1 + np.exp(-new[0, a]))
+        assert np.allclose(gate[0, a], g / (g.sum(0) + 1e-6))
+
+
+def test_sentence_rule_listing_and_no_merge(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a;b. c;d")], "segment int, text string")
+    assert [r.sentence for r in transcripts.split_sentences(rows, ";").orderBy("pos").collect()] == ["a", "b. c", "d"]
+    for name, n in (("b.mp4", 3), ("a.mp4", 2), ("c.txt", 1)):
+        (tmp_path / name).write_bytes(bytes(n))
+    assert [(r.path.rpartition("/")[2], r.length) for r in tables.list_files(spark, str(tmp_path)).collect()] == [("a.mp4", 2), ("b.mp4", 3)]
+    clips = spark.createDataFrame([("a", 10.0, 5.0)], "filename string, duration double, fps double")
+    voice = Function(lambda clips, **_: grid.frame_grid(clips).select("filename", "frame"))
+    made = Pipeline(voice=voice).run(clips, merge_tables=False)
+    assert made.features is None and made.tables["voice"].count() == 50
+    embedded = json.dumps({"filename": "a", "face_embeddings": [[1, 2], [3, 4]], "face_average_embeddings": {"0": [2, 3]}})
+    (tmp_path / "e.json").write_text(embedded)
+    each, average = json_files.read_video_embeddings(spark, str(tmp_path / "e.json"))
+    assert sorted(map(tuple, each.collect())) == [("a", 0, [1, 2]), ("a", 1, [3, 4])] and average.first()[:] == ("a", "0", [2, 3])
+
+
+def test_lists_of_different_lengths(spark, tmp_path):
+    (tmp_path / "v.json").write_text(json.dumps({"filename": "a", "frame": [0, 1], "time": [0.0]}))
+    with pytest.raises(PySparkException, match="different lengths"):
+        json_files.read_voice(spark, str(tmp_path / "v.json")).collect()
+    two = "\n".join(json.dumps({"filename": n, "frame": [0, 1], "time": [0.0, 0.2], "pitch_f0_hz": [1.5, None]}, indent=2) for n in "ab")
+    (tmp_path / "w.json").write_text(two)
+    assert sorted(map(tuple, json_files.read_voice(spark, str(tmp_path / "w.json")).collect()))[:2] == [("a", 0, 0.0, 1.5), ("a", 1, 0.2, None)]
