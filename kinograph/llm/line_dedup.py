@@ -103,11 +103,10 @@ def first_places(docs: DataFrame, batches: int, fanout: int) -> DataFrame:
         remove_path(spark, path)
 
 
-def kept_text(text: Column, lines: Column) -> Column:
-    """text without the lines that are neither blank nor numbered in lines."""
-    parts = F.split(text, "\n")
-    blank = F.filter(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: ~F.get(parts, i).rlike(REAL))
-    places = F.array_sort(F.array_union(blank, lines))
+def kept_text(text: Column, parts: Column, lines: Column) -> Column:
+    """text, of which parts are the lines, without those that are neither blank nor numbered in lines."""
+    blank = F.filter(F.transform(parts, lambda s, i: F.when(~s.rlike(REAL), i)), lambda i: i.isNotNull())
+    places = F.array_sort(F.array_union(lines, blank))
     return F.when(F.size(places) == F.size(parts), text).otherwise(F.array_join(F.transform(places, lambda i: F.get(parts, i)), "\n"))
 
 
@@ -129,7 +128,9 @@ def line_dedup(docs: DataFrame, batches: int = BATCHES, fanout: int = FANOUT) ->
     joined = left.join(kept, (F.col(doc).cast("bigint").eqNullSafe(F.col("doc_id"))) & (text_key(F.col(text)) == F.col("th")), "left").select(*left.columns, "lines")
     # a document without lines to keep stays only if it had none
     stays = joined.where(F.col("lines").isNotNull() | F.col(text).isNull() | ~F.col(text).rlike(REAL))
-    out = stays.withColumn(text, F.when(F.col("lines").isNotNull(), kept_text(F.col(text), F.col("lines"))).otherwise(F.col(text)))
+    # a column of its own, or each line would split the text again
+    split = stays.withColumn("parts", F.when(F.col("lines").isNotNull(), F.split(text, "\n")))
+    out = split.withColumn(text, F.when(F.col("lines").isNotNull(), kept_text(F.col(text), F.col("parts"), F.col("lines"))).otherwise(F.col(text)))
     if "n_chars" in lowered:
         chars = f"c{lowered.index('n_chars')}"
         out = out.withColumn(chars, F.when(F.col("lines").isNotNull(), F.length(text).cast(left.schema[chars].dataType)).otherwise(F.col(chars)))
