@@ -11,7 +11,7 @@ capacity open a bin each. Then, round by round:
 * gaps shrink by what they took; pieces without a slot wait for the next round, and the largest of them open as many
   bins as the rest needs beyond the room that can still be used.
 
-What the driver sees of a round is one number for each partition and the count of waiting pieces of each size, at most
+What the driver sees of a round is the count of waiting pieces of each size and of gaps of each room, at most twice
 ``capacity`` numbers, whatever the number of documents.
 """
 
@@ -24,19 +24,18 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinograph.llm._common import cut, text_key
 
 CAPACITY = 2048
 ID = "struct<absent: boolean, doc_id: bigint, th: bigint, piece: int, copy: int>"
-_SPACES = "[ \\t\\n\\r\\f\\x0B]+"
+_WORD = "[^ \\t\\n\\r\\f\\x0B]++"
 
 
-def n_words(text):
-    trimmed = F.btrim(text, F.lit(" \t\n\r\f\v"))
-    return F.when(trimmed == "", 0).otherwise(F.size(F.split(trimmed, _SPACES)))
+def n_words(text: Column) -> Column:
+    return F.regexp_count(text, F.lit(_WORD))
 
 
 def pieces(docs: DataFrame, capacity: int) -> DataFrame:
@@ -78,32 +77,32 @@ def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def sweep(slots: DataFrame, waiting: DataFrame) -> DataFrame:
     """(size, id, bin) of every waiting piece; bin is NULL where no slot was left for it."""
-    spark = slots.sparkSession
     both = slots.selectExpr("0 AS kind", "size", "id", "slot").unionByName(waiting.selectExpr("1 AS kind", "size", "id", "0 AS slot"))
     order = [F.col("size").desc(), F.col("kind"), F.col("id"), F.col("slot")]
     ranged = both.repartitionByRange(*order).sortWithinPartitions(*order)
     swept = cut(ranged.mapInArrow(_sweep, f"kind int, size int, id {ID}, bin {ID}, part int, seq bigint, level bigint, total bigint"))
-    # one row for each partition
-    totals = dict(swept.groupBy("part").agg(F.first("total")).collect())
-    base, depth = [], 0
-    for part in sorted(totals):
-        base.append((part, depth))
-        depth += totals[part]
-    offsets = F.broadcast(spark.createDataFrame(base, "part int, base bigint"))
+    # one row for each partition; a running sum over them
+    totals = swept.groupBy("part").agg(F.first("total").alias("total"))
+    offsets = totals.selectExpr("part", "coalesce(sum(total) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base")
     open_ = swept.where("bin IS NULL").join(offsets, "part").withColumn("level", F.col("level") + F.col("base"))
     near = "PARTITION BY level ORDER BY part, seq"
     far = open_.selectExpr("kind", "size", "id", f"lag(kind) OVER ({near}) AS before", f"lag(id) OVER ({near}) AS slot").selectExpr("kind", "size", "id", "CASE WHEN before = 0 THEN slot END AS bin")
     return swept.where("bin IS NOT NULL").select("size", "id", "bin").union(far.where("kind = 1").select("size", "id", "bin"))
 
 
-def _largest(waiting: DataFrame, counts: dict[int, int], k: int) -> DataFrame:
-    """The k largest waiting pieces, by size, then by id."""
+def _opened(left: DataFrame, counts: dict[int, int], k: int) -> tuple[DataFrame, dict[int, int]]:
+    """left with ``opens``, true for its k largest pieces, by size, then by id; the counts of the others."""
+    rest = dict(counts)
     for size in sorted(counts, reverse=True):
-        if k <= counts[size]:
+        if k < counts[size]:
             break
-        k -= counts[size]
-    edge = waiting.where(F.col("size") == size).selectExpr("size", "id", "row_number() OVER (PARTITION BY size ORDER BY id) AS r").where(F.col("r") <= k).select("size", "id")
-    return waiting.where(F.col("size") > size).select("size", "id").union(edge)
+        k -= rest.pop(size)
+    if not k:
+        return left.withColumn("opens", F.col("size") > (max(rest) if rest else 0)), rest
+    rest[size] -= k
+    edge = left.where(F.col("size") == size).selectExpr("id", "row_number() OVER (PARTITION BY size ORDER BY id) AS r").where(F.col("r") <= k).select(F.col("id").alias("edge id"))
+    flagged = left.join(edge, F.col("id") == F.col("edge id"), "left")
+    return flagged.select("size", "id", ((F.col("size") > size) | F.col("edge id").isNotNull()).alias("opens")), rest
 
 
 def place(items: DataFrame, capacity: int) -> DataFrame:
@@ -122,22 +121,24 @@ def place(items: DataFrame, capacity: int) -> DataFrame:
         slots = gaps.selectExpr("id", "room", f"cast(least(greatest(1, room div {most}), {n}) AS int) AS q").selectExpr("id", "cast(room div q AS int) AS size", "explode(sequence(1, q)) AS slot")
         met = cut(sweep(slots, waiting))
         hit, left = met.where("bin IS NOT NULL"), met.where("bin IS NULL").select("size", "id")
-        counts = dict(left.groupBy("size").count().collect())
         took = hit.groupBy("bin").agg(F.sum("size").alias("took"))
         gaps = cut(gaps.join(took, F.col("id") == F.col("bin"), "left").selectExpr("id", "cast(room - coalesce(took, 0) AS int) AS room").where("room > 0"))
         placed.append(hit.selectExpr("size", "id", "bin", f"{2 * step - 1} AS round"))
+        # how many pieces of each size wait, and how many gaps of each room there are: at most twice capacity rows
+        sizes = left.selectExpr("0 AS kind", "size AS x").union(gaps.selectExpr("1 AS kind", "room AS x")).groupBy("kind", "x").count().collect()
+        counts = {r["x"]: r["count"] for r in sizes if not r["kind"]}
         if not counts:
             break
-        need = sum(s * c for s, c in counts.items())
-        usable = 0 if sum(counts.values()) == n else gaps.where(F.col("room") >= min(counts)).agg(F.coalesce(F.sum("room"), F.lit(0))).first()[0]
+        need, least = sum(s * c for s, c in counts.items()), min(counts)
+        usable = 0 if sum(counts.values()) == n else sum(r["x"] * r["count"] for r in sizes if r["kind"] and r["x"] >= least)
         k = min(sum(counts.values()), max(0, math.ceil((need - usable) / capacity)))
         waiting = left
         if k:
-            new = cut(_largest(left, counts, k))
+            flagged, counts = _opened(left, counts, k)
+            flagged = cut(flagged)
+            new, waiting = flagged.where("opens").select("size", "id"), flagged.where("NOT opens").select("size", "id")
             placed.append(new.selectExpr("size", "id", "id AS bin", f"{2 * step} AS round"))
             gaps = gaps.union(new.selectExpr("id", f"{capacity} - size AS room"))
-            waiting = cut(left.join(new.select("id"), "id", "left_anti").select("size", "id"))
-            counts = dict(waiting.groupBy("size").count().collect())
     return reduce(DataFrame.unionByName, placed)
 
 
