@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinograph.operators.stabbing import stab
 
 
-def interpolate(points: DataFrame, signal: DataFrame, on: list[str], time: str = "time", ts: str = "ts", value: str = "value", width: float | None = None) -> DataFrame:
+def interpolate(points: DataFrame, signal: DataFrame, on: list[str], time: str = "time", ts: str = "ts", value: str = "value", width: float | Column | None = None) -> DataFrame:
     """points with ``value`` between the neighbouring samples of signal (on, ts, value); NULL outside of all samples.
 
     On a sample's time the value is the sample's. A NULL or NaN sample makes the stretches beside it NULL. Samples of one
@@ -33,7 +33,7 @@ def interpolate(points: DataFrame, signal: DataFrame, on: list[str], time: str =
     return found.withColumn(value, lerp).drop("from ts", "from value", "to ts", "to value", "until")
 
 
-def resample(grid: DataFrame, long: DataFrame, features: list[str], width: float | None = None) -> DataFrame:
+def resample(grid: DataFrame, long: DataFrame, features: list[str], width: float | Column | None = None) -> DataFrame:
     """grid with a column for each feature of long (filename, feature, ts, value): each interpolated, all in one pass."""
     asked = grid.withColumn("feature", F.explode(F.array(*map(F.lit, features))))
     values = interpolate(asked, long, ["filename", "feature"], width=width)

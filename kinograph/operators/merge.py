@@ -9,25 +9,25 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
 from kinograph.operators.grid import frame_grid
-from kinograph.operators.stabbing import stab
+from kinograph.operators.stabbing import mean_length, stab
 from kinograph.schemas import MERGED
 
 KEYS = ["filename", "frame"]
 
 
-def stab_segments(grid: DataFrame, segments: DataFrame, width: float | None = None) -> DataFrame:
+def stab_segments(grid: DataFrame, segments: DataFrame, width: float | Column | None = None) -> DataFrame:
     """(filename, frame, segment_start, segment_end, segment_speaker_label); a frame without a segment has one row with NULLs."""
     right = segments.selectExpr("filename", "begin AS segment_start", "end AS segment_end", "name AS segment_speaker_label")
     return stab(grid, right, ["filename"], "left", "time", "segment_start", "segment_end", width).drop("time")
 
 
-def stab_spans(grid: DataFrame, transcription: DataFrame, width: float | None = None) -> DataFrame:
+def stab_spans(grid: DataFrame, transcription: DataFrame, width: float | Column | None = None) -> DataFrame:
     """Frames of sentences; their speaker is segment_speaker_label."""
     right = transcription.selectExpr("filename", "begin AS span_start", "end AS span_end", "text AS span_text", "speaker AS segment_speaker_label", "confidence AS span_confidence")
     return stab(grid, right, ["filename"], "inner", "time", "span_start", "span_end", width).drop("time")
 
 
-def stab_sentiment(grid: DataFrame, sentiment: DataFrame, width: float | None = None) -> DataFrame:
+def stab_sentiment(grid: DataFrame, sentiment: DataFrame, width: float | Column | None = None) -> DataFrame:
     right = sentiment.selectExpr("filename", "begin AS sent_begin", "end AS sent_end", "text AS span_text", "pos AS span_sent_pos", "neg AS span_sent_neg", "neu AS span_sent_neu")
     return stab(grid, right, ["filename"], "inner", "time", "sent_begin", "sent_end", width).drop("time", "sent_begin", "sent_end")
 
@@ -49,12 +49,11 @@ def fold_left(inputs: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.join(b, KEYS, "left"), inputs)
 
 
-def _width(tables: list[DataFrame]) -> float | None:
-    """The mean length of all intervals, for one width of buckets, in one pass; NULL without any."""
+def _width(tables: list[DataFrame]) -> Column | None:
+    """The mean length of all intervals, so that all stabbing joins share one width of buckets and the shuffle of the grid; None without any."""
     if not tables:
         return None
-    rows = reduce(DataFrame.unionAll, [t.select(F.col("begin").cast("double").alias("b"), F.col("end").cast("double").alias("e")) for t in tables])
-    return rows.where("e > b").agg(F.avg(F.col("e") - F.col("b"))).first()[0] or 1.0
+    return mean_length(reduce(DataFrame.unionAll, [t.select("begin", "end") for t in tables]))
 
 
 def present(table: DataFrame, keep: tuple[str, ...] = ("filename", "frame")) -> DataFrame:
@@ -76,7 +75,7 @@ def merge_features(
     sentiment: DataFrame | None = None,
     voice: DataFrame | None = None,
     skip: int = 1,
-    width: float | None = None,
+    width: float | Column | None = None,
     frame_offset: int | Column = 0,
 ) -> DataFrame:
     """The merged table of all clips (filename, duration, fps).

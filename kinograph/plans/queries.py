@@ -20,6 +20,8 @@ from kinograph.sources import json_files, rttm, srt, tables
 from kinograph.streaming.stabbing import windowed_stats
 
 STEP, SKIP = 60.0, 5
+#: Width of buckets of time: about as long as events are, so no pass over them is needed to find out.
+WIDTH = 60.0
 KINDS = ["click", "error", "purchase", "signup", "view"]
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -105,7 +107,7 @@ def subclip(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {EV}, {grid_sql(1)} SELECT g.filename, g.frame, s."begin" AS segment_start, s."end" AS segment_end, s.name AS segment_speaker_label
 FROM g LEFT JOIN ev s ON g.filename = s.filename AND s."begin" <= g.time AND g.time < s."end" """)
 def stab_left(spark: SparkSession, d: str) -> DataFrame:
-    return merge.stab_segments(grid.frame_grid(clips(spark, d)), events(spark, d))
+    return merge.stab_segments(grid.frame_grid(clips(spark, d)), events(spark, d), WIDTH)
 
 
 SPANS = """tr AS (SELECT filename, "begin", "end", event_id, 'text ' || user_id AS text, name AS speaker, value / 500 AS confidence FROM ev WHERE event_type IN ('view', 'signup'))"""
@@ -114,7 +116,7 @@ SPANS = """tr AS (SELECT filename, "begin", "end", event_id, 'text ' || user_id
 @query(f"""WITH {EV}, {grid_sql(1)}, {SPANS} SELECT g.filename, frame, "begin" AS span_start, "end" AS span_end, text AS span_text, speaker AS segment_speaker_label, confidence AS span_confidence
 FROM g JOIN tr ON g.filename = tr.filename AND "begin" <= time AND time < "end" """)
 def stab_inner(spark: SparkSession, d: str) -> DataFrame:
-    return merge.stab_spans(grid.frame_grid(clips(spark, d)), transcription(spark, d))
+    return merge.stab_spans(grid.frame_grid(clips(spark, d)), transcription(spark, d), WIDTH)
 
 
 def inputs(spark: SparkSession, d: str) -> dict[str, DataFrame]:
@@ -145,7 +147,7 @@ FROM vi LEFT JOIN al ON vi.filename = al.filename AND vi.frame = al.frame LEFT J
 
 @query(MERGED + "SELECT * FROM merged")
 def merge_features(spark: SparkSession, d: str) -> DataFrame:
-    return merge.merge_features(clips(spark, d), **inputs(spark, d))
+    return merge.merge_features(clips(spark, d), **inputs(spark, d), width=WIDTH)
 
 
 @query(f"""WITH {EV}, {grid_sql(1)}, {SPANS}, {speech_sql("nullif(name, '0')")}
@@ -153,7 +155,7 @@ SELECT sp.*, span_start, span_end, span_text, span_confidence FROM sp LEFT JOIN
 def merge_null_key(spark: SparkSession, d: str) -> DataFrame:
     g = grid.frame_grid(clips(spark, d))
     segments = of(spark, d, "purchase", "view").withColumn("name", F.expr("nullif(name, '0')"))
-    return merge.with_spans(merge.stab_segments(g, segments), merge.stab_spans(g, transcription(spark, d, "nullif(name, '0')")))
+    return merge.with_spans(merge.stab_segments(g, segments, WIDTH), merge.stab_spans(g, transcription(spark, d, "nullif(name, '0')"), WIDTH))
 
 
 # Signals

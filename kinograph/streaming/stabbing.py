@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinograph.operators.stabbing import mean_length, stab
+from kinograph.operators.stabbing import stab
 
 
-def stab_stream(points: DataFrame, intervals: DataFrame, on: list[str], how: str = "inner", width: float | None = None, **names: str) -> DataFrame:
+def stab_stream(points: DataFrame, intervals: DataFrame, on: list[str], how: str = "inner", width: float | Column | None = None, **names: str) -> DataFrame:
     """The stabbing join of a stream of points with a table of intervals; it keeps no state."""
-    begin, end = names.get("begin", "begin"), names.get("end", "end")
-    return stab(points, intervals, on, how, width=width or mean_length(intervals, begin, end), **names)
+    return stab(points, intervals, on, how, width=width, **names)
 
 
 def windowed_stats(points: DataFrame, by: list[str], value: str, ts: str = "ts", window: str = "10 minutes", late: str = "5 minutes") -> DataFrame:
