@@ -2,7 +2,8 @@
 
 A document's hash is the first 60 bits of md5(doc_id). The directory is a binary trie over hash prefixes; a bucket over
 the byte limit is split on its next bit, all others stay as they are. The sums of ``step`` levels of the trie are made in
-one aggregation; only the rows of buckets that are still too large after them enter the next round.
+one aggregation; only the rows of buckets that are still too large after them enter the next round. Documents find their
+buckets by one look-up in the directory, and those behind its last bit by a second one.
 """
 
 from __future__ import annotations
@@ -64,10 +65,37 @@ def shard(docs: DataFrame, limit: int = 32 << 20, step: int = 12) -> DataFrame:
     """
     sized = docs.select("doc_id", hash_bits(F.col("doc_id")).alias("h"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("bytes"))
     buckets = cut(directory(sized.select("h", "bytes"), limit, step).select(F.col("depth").alias("shard_depth"), F.col("prefix").alias("shard_prefix"), F.col("bytes").alias("shard_bytes")))
-    # at most BITS + 1 values, whatever the number of rows
-    depths = sorted(r[0] for r in buckets.select("shard_depth").distinct().collect())
-    ids = sized.select("doc_id", "h", F.explode(F.array(*[F.lit(d) for d in depths]) if depths else F.array().cast("array<int>")).alias("shard_depth"))
-    return ids.withColumn("shard_prefix", prefix(F.col("h"), F.col("shard_depth"))).join(buckets, ["shard_depth", "shard_prefix"]).select("doc_id", F.col("shard_depth").cast("int"), "shard_prefix", "shard_bytes")
+    # at most BITS + 1 rows
+    found = {r[0]: r[1] for r in buckets.groupBy("shard_depth").count().collect()}
+    ids = sized.select("doc_id", "h")
+    if not found:
+        return ids.select("doc_id", F.lit(0).alias("shard_depth"), F.lit(0).cast("bigint").alias("shard_prefix"), F.lit(0).cast("bigint").alias("shard_bytes")).where("false")
+    depth = directory_depth(found)
+    columns = ["doc_id", F.col("shard_depth").cast("int").alias("shard_depth"), "shard_prefix", "shard_bytes"]
+    # one entry of the directory for each prefix of its depth; a bucket that is less deep has several
+    first = F.call_function("shiftleft", "shard_prefix", (F.lit(depth) - F.col("shard_depth")).cast("int"))
+    last = F.call_function("shiftleft", F.col("shard_prefix") + 1, (F.lit(depth) - F.col("shard_depth")).cast("int")) - 1
+    entries = buckets.where(F.col("shard_depth") <= depth).select("*", F.explode(F.sequence(first, last)).alias("entry"))
+    at = ids.withColumn("entry", prefix(F.col("h"), depth))
+    out = at.join(entries, "entry").select(columns)
+    deeper = sorted(d for d in found if d > depth)
+    if not deeper:
+        return out
+    deep = buckets.where(F.col("shard_depth") > depth)
+    behind = deep.select(F.call_function("shiftright", "shard_prefix", (F.col("shard_depth") - F.lit(depth)).cast("int")).alias("entry")).distinct()
+    few = at.join(behind, "entry", "left_semi").select("doc_id", "h", F.explode(F.array(*[F.lit(d) for d in deeper])).alias("shard_depth"))
+    return out.unionByName(few.withColumn("shard_prefix", prefix(F.col("h"), F.col("shard_depth"))).join(deep, ["shard_depth", "shard_prefix"]).select(columns))
+
+
+def directory_depth(found: dict[int, int]) -> int:
+    """The depth of the directory, from the number of buckets of each depth: the greatest at which it has at most eight entries for each bucket.
+
+    Buckets below it are looked up by their own depths. It is at most 12 more than the least depth, so a bucket has at most
+    4096 entries.
+    """
+    least = min(found)
+    fits = lambda depth: sum(n << (depth - d) for d, n in found.items() if d <= depth) <= 8 * sum(found.values())
+    return max(d for d in range(least, min(max(found), least + 12) + 1) if d == least or fits(d))
 
 
 def sql(limit: int) -> str:
