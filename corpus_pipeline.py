@@ -29,7 +29,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The packed pieces of documents; between stages, rows go through Parquet in the folder that all executors share."""
+    """The packed pieces of documents; between stages, rows go through Parquet in the folder that all executors share.
+
+    Each file set is removed when the next stage is done. The last stage has read its documents when it returns, since it
+    cuts its lineage behind them, so nothing stays but checkpoints, which Spark removes.
+    """
     docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         path = new_path(spark, name)
@@ -37,4 +41,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if before:
             remove_path(spark, before)
         docs, before = spark.read.parquet(path), path
-    return STAGES[-1][1](spark, docs, sf_dir)
+    out = STAGES[-1][1](spark, docs, sf_dir)
+    if before:
+        remove_path(spark, before)
+    return out
