@@ -152,6 +152,21 @@ def test_sentencepiece(messy, empty, spark):
     assert rows(sentencepiece_codec.decode(out)) == Counter(docs.items())
 
 
+def test_sentencepiece_models_of_other_kinds():
+    """Messages written by hand: a model that is not of the merge type, a user's piece, a normaliser, white space that is cut."""
+    for proto in (b"\x12\x02\x18\x01", b"\x0a\x02\x18\x04", b"\x1a\x05\x12\x01x\x20\x00", b"\x1a\x02\x20\x01", b"\x12\x05\x18\x02\xc0\x01\x01"):
+        with pytest.raises(ValueError, match="vocabulary"):
+            sentencepiece_codec.require_merge_type(proto)
+    sentencepiece_codec.require_merge_type(b"\x12\x02\x18\x02\x1a\x02\x20\x00")
+
+
+def test_sentencepiece_words_beyond_the_agendas_together(spark):
+    r = random.Random(8)
+    docs = {i: "".join(r.choice("abcdetinos") for _ in range(n)) for i, n in enumerate((1, 63, 64, 65, 200, 5000))} | {9: " " * 500 + "a", 10: "\n" * 300, 11: "▁▁a▁ b", 12: "日本" * 400}
+    out = sentencepiece_codec.encode(table(spark, docs))
+    assert out.where("NOT agrees").count() == 0 and out.where("NOT round_trip").select("doc_id").collect() == [(11,)]
+
+
 def test_packing_as_brute_force(spark):
     r = random.Random(7)
     docs = {i: " ".join(["w"] * int(r.paretovariate(0.7))) if i % 9 else None for i in range(400)}
