@@ -14,9 +14,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinograph.functions import scalars
-from kinograph.operators import faces, graph, grid, interpolate, merge, postprocess, stats, transcripts, validate
+from kinograph.operators import faces, graph, grid, interpolate, merge, postprocess, stats, transcripts, validate, voice
 from kinograph.session import seconds_since, there_and_back
 from kinograph.sources import json_files, rttm, srt, tables
+from kinograph.sources.config import VoiceConfig
 from kinograph.streaming.stabbing import windowed_stats
 
 STEP, SKIP = 60.0, 5
@@ -190,6 +191,37 @@ def db_difference(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", r6(scalars.harmonic_difference(h, f)).alias("level"), r6(scalars.harmonic_formant_difference(h, f, g)).alias("formant_level"))
 
 
+SPECTRAL = ("rms_db", "spectral_flux", "alpha_ratio_db", "hammar_index_db", "spectral_slope_0_500", "spectral_slope_500_1500")
+
+
+@query(f"""WITH x AS (SELECT vec_id % 5 AS f, vec_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS p FROM embeddings),
+s AS (SELECT f, v, row_number() OVER (PARTITION BY f ORDER BY vec_id, p) - 1 AS i, count(*) OVER (PARTITION BY f) AS n FROM x),
+fr AS (SELECT f, k, i - 128 * k + 128 AS j, v * (0.5 - 0.5 * cos(2 * pi() * (i - 128 * k + 128) / 256)) AS v FROM (SELECT f, i, v, unnest([i // 128, i // 128 + 1]) AS k, n FROM s) WHERE k <= n // 128),
+d AS (SELECT f, k, b, sqrt(sum(v * cos(2 * pi() * b * j / 256)) ** 2 + sum(v * sin(2 * pi() * b * j / 256)) ** 2) AS m, b * 62.5::DOUBLE AS hz FROM fr, range(129) t(b) GROUP BY f, k, b),
+c AS (SELECT *, m - lag(m) OVER (PARTITION BY f, b ORDER BY k) AS change FROM d),
+o AS (SELECT f, k, sum(change ** 2) AS spectral_flux, 10 * log10(nullif(sum(m) FILTER (WHERE hz >= 50 AND hz < 1000), 0) / nullif(sum(m) FILTER (WHERE hz >= 1000 AND hz < 5000), 0)) AS alpha_ratio_db,
+  10 * log10(nullif(max(m) FILTER (WHERE hz < 2000), 0) / nullif(max(m) FILTER (WHERE hz >= 2000 AND hz < 5000), 0)) AS hammar_index_db,
+  regr_slope(20 * log10(m), hz) FILTER (WHERE hz < 500) AS spectral_slope_0_500, regr_slope(20 * log10(m), hz) FILTER (WHERE hz >= 500 AND hz < 1500) AS spectral_slope_500_1500 FROM c GROUP BY f, k),
+r AS (SELECT f, k, 20 * log10(nullif(sqrt(sum(v * v) / 256), 0)) AS rms_db FROM fr GROUP BY f, k),
+w AS (SELECT * FROM o JOIN r USING (f, k))
+{' UNION ALL '.join(f"SELECT f::VARCHAR AS filename, '{n}' AS feature, k * 128 / 16000::DOUBLE AS ts, round({n}, 6) AS value FROM w" for n in SPECTRAL)}""")
+def voice_spectrum(spark: SparkSession, d: str) -> DataFrame:
+    """Features of windowed spectra; the embeddings of a recording, one after the other, are its signal."""
+    return _voice(spark, d, {n: voice.FEATURES[n] for n in SPECTRAL}).withColumn("value", r6("value"))
+
+
+@query(None)
+def voice_features(spark: SparkSession, d: str) -> DataFrame:
+    """All 25 features; tests hold them against signals of known pitch, jitter, shimmer, formants and harmonics."""
+    return _voice(spark, d, voice.FEATURES)
+
+
+def _voice(spark: SparkSession, d: str, features: dict) -> DataFrame:
+    parts = table(spark, d, "embeddings").select((F.col("vec_id") % 5).cast("string").alias("filename"), F.struct("vec_id", "embedding").alias("part"))
+    signals = parts.groupBy("filename").agg(F.flatten(F.transform(F.array_sort(F.collect_list("part")), lambda p: p["embedding"])).alias("samples")).withColumn("rate", F.lit(16000.0))
+    return voice.extract(signals, features, VoiceConfig(frame_len=256, hop_len=128))
+
+
 # Statistics
 
 
