@@ -45,6 +45,8 @@ WORK = f"{KEY}, start int, windows int, anchor bigint, place int, copied boolean
 CLOSED, COPIED, AGAIN, OPEN, OPEN_COPIED, WITNESS = range(6)
 #: Open segments of an anchor that one task may get, and closed ones in a group.
 HOT, GROUP = 1 << 16, 1 << 12
+#: Bytes of text in which copies are found on the spot.
+CHUNK = 4 << 20
 
 
 def _ids(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -85,7 +87,7 @@ def _segments(width: int, anchors: Anchors, hashes: Hashes) -> Callable[[Iterato
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             absent, ids, th = _ids(b)
-            for lo, hi, data, offs in T.chunks(b.column("text"), 4 << 20):
+            for lo, hi, data, offs in T.chunks(b.column("text"), CHUNK):
                 starts, ends, first = T.words(data, offs)
                 w = windows_of(first, width)
                 if not len(w):

@@ -63,13 +63,16 @@ def name_pairs(s: Symbols, first: np.ndarray, level: int) -> Symbols:
     return Symbols(name, s.start[i], s.end[j], lo[i], hi[j], s.doc[i])
 
 
-def levels(h: np.ndarray, first: np.ndarray, rounds: int) -> list[Symbols]:
+def levels(h: np.ndarray, first: np.ndarray, rounds: int) -> list[tuple[int, Symbols]]:
+    """The levels from LEAST on, with their numbers."""
     i = np.arange(len(h))
     doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    out = [Symbols(h, i, i + 1, i, i + 1, doc)]
+    s = Symbols(h, i, i + 1, i, i + 1, doc)
+    out = []
     for r in range(rounds):
-        s = name_runs(out[-1], first, r) if r % 3 == 0 else out[-1]
-        out.append(name_pairs(s, first, r))
+        s = name_pairs(name_runs(s, first, r) if r % 3 == 0 else s, first, r)
+        if r + 1 >= LEAST:
+            out.append((r + 1, s))
     return out
 
 
@@ -79,7 +82,7 @@ def interior_anchors(rounds: int) -> _repeats.Anchors:
         at, place, key = (np.full(n, -1), np.zeros(n, np.int64), np.zeros(n, U))
         open_ = _repeats.windows_of(first, width)
         words = prefix_hash(h)
-        for level, s in reversed([*enumerate(levels(h, first, rounds))][LEAST:]):
+        for level, s in reversed(levels(h, first, rounds)):
             lo, hi = np.searchsorted(s.lo, open_), np.searchsorted(s.hi, open_ + width, "right")
             has = hi > lo
             w, lo, hi = open_[has], lo[has], hi[has]
