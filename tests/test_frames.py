@@ -143,6 +143,29 @@ def test_assignment_is_optimal():
         assert len(set(rows)) == len(set(cols)) == min(n, m) and math.isclose(cost[rows, cols].sum(), best)
 
 
+def test_nearest_nodes_by_blocks(spark, monkeypatch):
+    """Against all pairs in plain Python: graphs of several blocks, ties, vectors that are NULL, with holes, NaNs or of other lengths."""
+    monkeypatch.setattr(graph, "BLOCK", 7)
+    r = np.random.default_rng(3)
+    rows = [("a", i, r.normal(size=4).round(1).tolist()) for i in range(40)] + [("b", i, [float(i % 2), 1.0, 0.0, 0.0]) for i in range(9)]
+    rows += [("c", 0, None), ("c", 1, [1.0, None]), ("c", 2, [1.0]), ("c", 3, [2.0]), ("c", 4, [float("nan")]), ("c", 5, [1.0, 2.0]), ("c", 6, []), (None, 7, [1.0])]
+    want = []
+    for g in "abc":
+        mine = [(i, v) for h, i, v in rows if h == g]
+        for i, v in mine:
+            sims = []
+            for j, w in mine:
+                fine = v is not None and w is not None and len(v) == len(w) and None not in v + w
+                x = round(sum(p * q for p, q in zip(v, w)), 9) + 0.0 if fine else None
+                sims.append((-math.inf if x is None else math.inf if math.isnan(x) else x, j))
+            want += [(g, i, j) for x, j in sims if sum(y > x for y, _ in sims) < 3]
+    nodes = spark.createDataFrame(rows, "graph string, node int, vector array<double>")
+    found = graph.knn_adjacency(nodes, 3)
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+    # pairs are compared in Python by blocks; no join of nodes makes them
+    assert "FlatMapCoGroupsInArrow" in found._jdf.queryExecution().toString()
+
+
 def test_graph_arithmetic():
     r = np.random.default_rng(2)
     x = r.normal(size=(3, 27, 8))
