@@ -89,9 +89,15 @@ def knn_adjacency(nodes: DataFrame, k: int, by: str = "graph", node: str = "node
 
 
 def normalise_digraph(edges: DataFrame, by: str = "graph") -> DataFrame:
-    """edges with ``weight``: 1 over the roots of the out-degrees of both ends."""
-    out = edges.groupBy(by, "src").agg(F.count(F.lit(1)).alias("n"))
-    ends = edges.join(out.withColumnRenamed("n", "a"), [by, "src"]).join(out.withColumnsRenamed({"src": "dst", "n": "b"}), [by, "dst"])
+    """edges with ``weight``: 1 over the roots of the out-degrees of both ends. Edges to nodes without edges are left out.
+
+    edges may be costly, so they are made once: each tells its degree to the edges that end where it begins.
+    """
+    whole = edges.select(by, "src", "dst").dropna(subset=[by, "src"])
+    out = whole.withColumn("a", F.count(F.lit(1)).over(Window.partitionBy(by, "src")))
+    told = F.array(F.struct(F.col("dst").alias("node"), F.lit(False).alias("own")), F.struct(F.col("src").alias("node"), F.lit(True).alias("own")))
+    ends = out.select("*", F.inline(told))
+    ends = ends.withColumn("b", F.max(F.when(F.col("own"), F.col("a"))).over(Window.partitionBy(by, "node"))).where(~F.col("own") & F.col("b").isNotNull())
     return ends.select(by, "src", "dst", (1 / F.sqrt(F.col("a").cast("double")) / F.sqrt(F.col("b").cast("double"))).alias("weight"))
 
 

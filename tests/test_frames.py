@@ -166,6 +166,17 @@ def test_nearest_nodes_by_blocks(spark, monkeypatch):
     assert "FlatMapCoGroupsInArrow" in found._jdf.queryExecution().toString()
 
 
+def test_digraph_is_made_once(spark):
+    """Weights by hand, with an edge twice, a node without edges, NULLs; the plan of the edges is there once."""
+    rows = [("a", 1, 2), ("a", 1, 3), ("a", 2, 1), ("a", 2, 1), ("a", 2, 2), ("b", 1, 1), ("b", None, 1), ("b", 1, None), (None, 1, 1)]
+    edges = spark.createDataFrame(rows, "graph string, src int, dst int")
+    found = sorted((*r[:3], round(r[3], 9)) for r in graph.normalise_digraph(edges).collect())
+    assert found == [("a", 1, 2, round(6**-0.5, 9)), *[("a", 2, 1, round(6**-0.5, 9))] * 2, ("a", 2, 2, round(1 / 3, 9)), ("b", 1, 1, 0.5)]
+    nodes = spark.createDataFrame([("a", i, [float(i)]) for i in range(5)], "graph string, node int, vector array<double>")
+    plan = graph.normalise_digraph(graph.knn_adjacency(nodes, 2))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("FlatMapCoGroupsInArrow") == 1
+
+
 def test_graph_arithmetic():
     r = np.random.default_rng(2)
     x = r.normal(size=(3, 27, 8))
