@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
@@ -16,6 +16,8 @@ PAYLOADS = {
     "sentiment": "struct<text: string, pos: double, neg: double, neu: double>",
 }
 
+#: Segments of an object, and objects of a file: files are read as wholes, so neither may grow with the recording.
+PART, OBJECTS = 16384, 8
 
 #: Fields that a payload has to have.
 REQUIRED = {"segments": ("name",), "transcription": ("index", "text"), "sentiment": ("text",)}  # scores are NULL where a model failed
@@ -87,11 +89,11 @@ def read_voice(spark: SparkSession, path: str, filename: str | None = None) -> D
     return rows.select("filename", F.col("frame").cast("bigint").alias("frame"), number("time").alias("time"), *[F.when(~F.isnan(number(c)), number(c)).alias(c) for c in rest])
 
 
-def read_annotation(spark: SparkSession, path: str, kind: str, filename: str | None = None, payload: str | None = None, strict: bool = True) -> DataFrame:
+def read_annotation(spark: SparkSession, path: str, kind: str, filename: str | None = None, payload: str | None = None, strict: bool = True, ranges: bool = True) -> DataFrame:
     """(filename, begin, end, fields of the payload), and channel for segments; kind is a key of PAYLOADS unless payload is given.
 
-    strict: a payload of one of PAYLOADS that lacks a required field, or has one of a wrong type or a probability that is not
-    within 0 to 1, is an error when the row is read.
+    strict: a payload of one of PAYLOADS that lacks a required field, or has one of a wrong type or, unless ranges is False, a
+    probability that is not within 0 to 1, is an error when the row is read.
     """
     own, payload = payload is None, payload or PAYLOADS[kind]
     schema = f"filename string, channel int, segments array<struct<begin: double, end: double, data: {payload}>>"
@@ -101,7 +103,7 @@ def read_annotation(spark: SparkSession, path: str, kind: str, filename: str | N
         ok = F.col("begin").isNotNull() & F.col("end").isNotNull()
         for c in REQUIRED[kind]:
             ok = ok & F.col(c).isNotNull()
-        for c in PROBABILITIES[kind]:
+        for c in PROBABILITIES[kind] if ranges else ():
             ok = ok & F.coalesce(F.col(c).between(0, 1), F.lit(True))
         rows = rows.withColumn("begin", F.when(ok, F.col("begin")).otherwise(F.raise_error(F.concat(F.lit(f"a payload of {kind} is not valid in "), F.coalesce("filename", F.lit("?"))))))
     return rows if kind == "segments" else rows.drop("channel")
@@ -120,17 +122,26 @@ def _pick(name: str):
 
 
 def annotation_objects(table: DataFrame, header: list[str] | None = None) -> DataFrame:
-    """(filename, value): one JSON object with segments, in the order of begin and end, for each recording."""
+    """(filename, value): one JSON object with segments, in the order of begin and end, for each recording.
+
+    A recording of more than PART segments has several objects, one after the other in time, each with filename and header.
+    """
     header = header or []
     data = [c for c in table.columns if c not in ("filename", "begin", "end", *header)]
     item = F.struct("begin", "end", F.struct(*data).alias("data"))
-    packed = table.groupBy("filename").agg(*[F.first(c, ignorenulls=True).alias(c) for c in header], F.array_sort(F.collect_list(item)).alias("segments"))
+    rows = table.select("filename", *header, item.alias("item"))
+    whole = Window.partitionBy("filename").orderBy("item")
+    place = F.floor((F.row_number().over(whole) - 1) / PART).alias("part")
+    heads = [F.first(c, ignorenulls=True).over(whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias(c) for c in header]
+    # parts are gathered apart, so no task holds more than some of them
+    parts = rows.select("filename", place, *heads, "item").repartition("filename", "part")
+    packed = parts.groupBy("filename", "part").agg(*[F.first(c, ignorenulls=True).alias(c) for c in header], F.array_sort(F.collect_list("item")).alias("segments"))
     return packed.select("filename", F.to_json(F.struct("filename", *header, "segments"), {"ignoreNullFields": "false"}).alias("value"))
 
 
 def write_objects(objects: DataFrame, path: str) -> None:
-    """A folder of text files, one object on each line."""
-    objects.select("value").write.text(path)
+    """A folder of text files, one object on each line, OBJECTS a file at most."""
+    objects.select("value").write.option("maxRecordsPerFile", OBJECTS).text(path)
 
 
 def read_merged(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:

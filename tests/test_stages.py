@@ -139,6 +139,32 @@ def test_payloads_are_validated(spark, tmp_path):
     assert read({"topic": "t"}, payload="struct<topic: string>")[0].topic == "t"
 
 
+def test_ranges_alone_may_be_left_unchecked(spark, tmp_path):
+    def read(data):
+        (tmp_path / "x.json").write_text(json.dumps({"filename": "a", "segments": [{"begin": 0, "end": 1, "data": data}]}))
+        return json_files.read_annotation(spark, str(tmp_path / "x.json"), "segments", ranges=False).collect()
+
+    assert read({"name": "s", "conf": 1.5})[0].conf == 1.5
+    with pytest.raises(PySparkException, match="not valid"):
+        read({"conf": 0.5})
+
+
+def test_long_recordings_are_written_in_parts(spark, tmp_path, monkeypatch):
+    """In order, each with the header of the recording, a few to a file; and read back as they were."""
+    monkeypatch.setattr(json_files, "PART", 4)
+    monkeypatch.setattr(json_files, "OBJECTS", 2)
+    rows = [(f, 1 if i == 9 else None, float(i), i + 0.5, f"s{i}", None) for f in ("a", "b") for i in range(10)]
+    table = spark.createDataFrame(rows, "filename string, channel int, begin double, end double, name string, conf double")
+    json_files.write_objects(json_files.annotation_objects(table, ["channel"]), str(tmp_path / "j"))
+    files = [[json.loads(x) for x in p.read_text().splitlines()] for p in (tmp_path / "j").glob("*.txt")]
+    assert max(map(len, files)) <= 2
+    found = sorted((x["filename"], [s["begin"] for s in x["segments"]]) for f in files for x in f)
+    assert found == [(f, [float(i) for i in r]) for f in ("a", "b") for r in (range(4), range(4, 8), range(8, 10))]
+    assert {x["channel"] for f in files for x in f} == {1}
+    back = json_files.read_annotation(spark, str(tmp_path / "j"), "segments")
+    assert sorted(map(str, back.collect())) == sorted(map(str, table.withColumn("channel", F.lit(1)).select(back.columns).collect()))
+
+
 def test_identify_is_spectral_by_default(spark):
     rng = np.random.default_rng(3)
     angle = rng.uniform(0, 2 * np.pi, 120)
