@@ -30,6 +30,12 @@ def round_half_even(x: Column, places: int = 2) -> Column:
     return F.bround(x, places)
 
 
+def round_signed(x: Column, places: int) -> Column:
+    """Rounds doubles half away from zero, as SQL engines do in binary: scaled, rounded and scaled back; what is negative stays so, as -0.0."""
+    unit = F.lit(10.0**places)
+    return F.when((x == 0) | (F.abs(x) >= 1e300), x).otherwise(F.signum(x) * F.round(F.abs(x) * unit, 0) / unit)
+
+
 def stem(path: Column) -> Column:
     return F.regexp_replace(F.regexp_extract(path, r"([^/\\]*)$", 1), r"(?<=.)\.[^.]*$", "")
 

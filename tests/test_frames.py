@@ -143,6 +143,13 @@ def test_assignment_is_optimal():
         assert len(set(rows)) == len(set(cols)) == min(n, m) and math.isclose(cost[rows, cols].sum(), best)
 
 
+def test_rounding_keeps_signs(spark):
+    values = [-4e-7, -0.0, 0.0, 4e-7, -5e-7, 1e305, -math.inf, 1.2345675, -2.5]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(values)], "i int, x double").orderBy("i").select(scalars.round_signed(F.col("x"), 6).alias("x")).collect()
+    assert [str(r.x) for r in rows] == ["-0.0", "-0.0", "0.0", "0.0", "-1e-06", "1e+305", "-inf", str(math.floor(1.2345675 * 1e6 + 0.5) / 1e6), "-2.5"]
+    assert spark.range(1).select(scalars.round_signed(F.lit(None).cast("double"), 6)).first()[0] is None
+
+
 def test_nearest_nodes_by_blocks(spark, monkeypatch):
     """Against all pairs in plain Python: graphs of several blocks, ties, vectors that are NULL, with holes, NaNs or of other lengths."""
     monkeypatch.setattr(graph, "BLOCK", 7)
