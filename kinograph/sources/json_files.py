@@ -36,9 +36,9 @@ def _objects(spark: SparkSession, path: str, schema: str | StructType) -> DataFr
     return _contents(spark, path).select("file", F.from_json("value", schema).alias("object")).select("file", "object.*")
 
 
-def _named(df: DataFrame, filename: str | None) -> DataFrame:
-    """With filename in place of the one in the file, or, where that is missing, the file's own name."""
-    own = F.lit(filename) if filename is not None else F.coalesce("filename", "file")
+def _named(df: DataFrame, filename: str | None, by_file: bool = True) -> DataFrame:
+    """With filename in place of the one in the file, or, where that is missing, the file's own name, or NULL unless by_file."""
+    own = F.lit(filename) if filename is not None else F.coalesce("filename", "file") if by_file else F.col("filename")
     return df.withColumn("filename", own).drop("file")
 
 
@@ -89,15 +89,16 @@ def read_voice(spark: SparkSession, path: str, filename: str | None = None) -> D
     return rows.select("filename", F.col("frame").cast("bigint").alias("frame"), number("time").alias("time"), *[F.when(~F.isnan(number(c)), number(c)).alias(c) for c in rest])
 
 
-def read_annotation(spark: SparkSession, path: str, kind: str, filename: str | None = None, payload: str | None = None, strict: bool = True, ranges: bool = True) -> DataFrame:
+def read_annotation(spark: SparkSession, path: str, kind: str, filename: str | None = None, payload: str | None = None, strict: bool = True, ranges: bool = True, by_file: bool = True) -> DataFrame:
     """(filename, begin, end, fields of the payload), and channel for segments; kind is a key of PAYLOADS unless payload is given.
 
     strict: a payload of one of PAYLOADS that lacks a required field, or has one of a wrong type or, unless ranges is False, a
-    probability that is not within 0 to 1, is an error when the row is read.
+    probability that is not within 0 to 1, is an error when the row is read. by_file: an object without filename has the name
+    of its file, else NULL.
     """
     own, payload = payload is None, payload or PAYLOADS[kind]
     schema = f"filename string, channel int, segments array<struct<begin: double, end: double, data: {payload}>>"
-    df = _named(_objects(spark, path, schema), filename)
+    df = _named(_objects(spark, path, schema), filename, by_file)
     rows = df.select("filename", "channel", F.inline("segments")).select("filename", "channel", "begin", "end", "data.*")
     if strict and own:
         ok = F.col("begin").isNotNull() & F.col("end").isNotNull()
