@@ -59,10 +59,13 @@ def average_embeddings(embeddings: DataFrame, by: list[str], label: str = "face_
     return _mean_vectors(_labelled(embeddings, label), [*by, label], False, vector)
 
 
-def centroids(embeddings: DataFrame, by: list[str], label: str = "face_label", vector: str = "embedding") -> DataFrame:
-    """As average_embeddings, but NaNs are left out of the means; ``number`` counts the labels of a recording in order."""
-    means = _mean_vectors(_labelled(embeddings, label), [*by, label], True, vector)
-    number = F.row_number().over(Window.partitionBy(*by).orderBy(label)) if by else F.row_number().over(Window.orderBy(label))
+def centroids(embeddings: DataFrame, by: list[str], label: str = "face_label", vector: str = "embedding", skip_nan: bool = True, unlabelled: bool = False) -> DataFrame:
+    """As average_embeddings, but NaNs are left out of the means; ``number`` counts the labels of a recording in order.
+
+    Without skip_nan, a NaN makes the mean of its dimension NaN; unlabelled: the rows without label have a centroid too, the last.
+    """
+    means = _mean_vectors(embeddings if unlabelled else _labelled(embeddings, label), [*by, label], skip_nan, vector)
+    number = F.row_number().over((Window.partitionBy(*by) if by else Window).orderBy(F.col(label).asc_nulls_last()))
     return means.withColumn("number", number - 1)
 
 
