@@ -31,9 +31,13 @@ def round_half_even(x: Column, places: int = 2) -> Column:
 
 
 def round_signed(x: Column, places: int) -> Column:
-    """Rounds doubles half away from zero, as SQL engines do in binary: scaled, rounded and scaled back; what is negative stays so, as -0.0."""
+    """Rounds doubles half away from zero, as SQL engines do in binary: scaled, rounded and scaled back; what is negative stays so, as -0.0.
+
+    What is infinite when scaled, and NaN, is returned as it is.
+    """
     unit = F.lit(10.0**places)
-    return F.when((x == 0) | (F.abs(x) >= 1e300), x).otherwise(F.signum(x) * F.round(F.abs(x) * unit, 0) / unit)
+    scaled = F.abs(x) * unit
+    return F.when((x == 0) | ~(scaled < float("inf")), x).otherwise(F.signum(x) * F.round(scaled, 0) / unit)
 
 
 def stem(path: Column) -> Column:
