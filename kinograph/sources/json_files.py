@@ -140,9 +140,9 @@ def annotation_objects(table: DataFrame, header: list[str] | None = None) -> Dat
     return packed.select("filename", F.to_json(F.struct("filename", *header, "segments"), {"ignoreNullFields": "false"}).alias("value"))
 
 
-def write_objects(objects: DataFrame, path: str) -> None:
-    """A folder of text files, one object on each line, OBJECTS a file at most."""
-    objects.select("value").write.option("maxRecordsPerFile", OBJECTS).text(path)
+def write_objects(objects: DataFrame, path: str, compression: str | None = None) -> None:
+    """A folder of text files, one object on each line, OBJECTS a file at most; compression is one of Spark's for text."""
+    objects.select("value").write.option("maxRecordsPerFile", OBJECTS).text(path, compression=compression)
 
 
 def read_merged(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:

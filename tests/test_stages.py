@@ -165,6 +165,20 @@ def test_long_recordings_are_written_in_parts(spark, tmp_path, monkeypatch):
     assert sorted(map(str, back.collect())) == sorted(map(str, table.withColumn("channel", F.lit(1)).select(back.columns).collect()))
 
 
+def test_objects_are_written_compressed(spark, tmp_path):
+    """And read back as they were; not compressed unless said."""
+    rows = [("a", float(i), i + 0.5, i, f"text {i}", "s", 0.5) for i in range(2000)]
+    table = spark.createDataFrame(rows, "filename string, begin double, end double, index int, text string, speaker string, confidence double")
+    size = {}
+    for kind in (None, "gzip"):
+        json_files.write_objects(json_files.annotation_objects(table), str(tmp_path / f"{kind}"), kind)
+        files = [p for p in (tmp_path / f"{kind}").iterdir() if p.name.startswith("part-")]
+        assert all(p.name.endswith(".txt.gz" if kind else ".txt") for p in files)
+        size[kind] = sum(p.stat().st_size for p in files)
+        assert sorted(map(tuple, json_files.read_annotation(spark, str(tmp_path / f"{kind}"), "transcription").collect())) == rows
+    assert size["gzip"] < size[None] / 2
+
+
 def test_identify_is_spectral_by_default(spark):
     rng = np.random.default_rng(3)
     angle = rng.uniform(0, 2 * np.pi, 120)
